@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WORD_SPLIT, ascii_lower, checkpointed, shuffle_parts
+from .common import WORD, WORD_SPLIT, ascii_lower, checkpointed, release, shuffle_parts
 
 #: Frequent words; discounts apply to counts up to K; tokens of a block of texts, at least.
 HOT, K, BLOCK_TOKENS = 1023, 5, 1_000_000
@@ -305,20 +305,21 @@ def _owned(uni: np.ndarray, parts: int):
         for i in mine:
             words, hot, rare, wk, pr, o, pd, times, ck, cd, cn, trained = _unpack(data[i])
             others = np.concatenate([hot.astype(np.uint64), rare])
-            parsed.append([words, others, np.cumsum(wk.astype(np.int64)), pr.astype(bool), o.astype(np.int64), pd.astype(np.int64), times.astype(np.int64), ck.astype(np.int64), cd.astype(np.int64), cn.astype(np.int64), trained.astype(bool)])
+            small = [a.astype(np.int32) for a in (o, pd, times, ck, cd, cn)]
+            parsed.append([words, others, np.cumsum(wk, dtype=np.int32), pr.astype(bool), *small, trained.astype(bool)])
         words = np.unique(np.concatenate([x[0] for x in parsed]))
         others = np.unique(np.concatenate([x[1] for x in parsed]))
         count = np.zeros(len(words), np.int64)
         keys, weights = [], []
         for x in parsed:
-            x[2] = np.searchsorted(words, x[0])[x[2]] if len(x[2]) else x[2]
-            x[7] = np.searchsorted(words, x[0])[x[7]] if len(x[7]) else x[7]
-            x[4] = np.searchsorted(others, x[1])[x[4]] if len(x[4]) else x[4]
+            x[2] = np.searchsorted(words, x[0]).astype(np.int32)[x[2]] if len(x[2]) else x[2]
+            x[7] = np.searchsorted(words, x[0]).astype(np.int32)[x[7]] if len(x[7]) else x[7]
+            x[4] = np.searchsorted(others, x[1]).astype(np.int32)[x[4]] if len(x[4]) else x[4]
             train = x[10][x[5]]
             # a word's count: where it is predicted; all these pairs are filed under it
             predicted = x[3] & train
             count += np.bincount(x[2][predicted], x[6][predicted], len(words)).astype(np.int64)
-            keys.append((x[2] * 2 + x[3]) * max(1, len(others)) + x[4])
+            keys.append((x[2].astype(np.int64) * 2 + x[3]) * max(1, len(others)) + x[4])
             weights.append(np.where(train, x[6], 0))
         code, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         r = np.bincount(inverse, np.concatenate(weights), len(code)).astype(np.int64)
@@ -391,11 +392,13 @@ def train_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (~F.coalesce(held_out, F.lit(False))).alias("train"))
-    parts = 2 * shuffle_parts(spark)
+    parts = shuffle_parts(spark)
     hot = frequent_words(docs)
     pairs, uni, total = hot_pairs(docs, hot)
     spread = _spread(docs, hot, pairs, uni, parts)
     filed = checkpointed(spread.groupBy("part").applyInArrow(_owned(uni, parts), _PACKED))
+    del spread
+    release(spark)
 
     # counts of counts: one small row per partition, and the frequent words' own
     inside = pairs[: HOT + 1, : HOT + 1]
