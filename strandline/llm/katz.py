@@ -155,6 +155,14 @@ def _small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+#: Sums of logarithms travel as whole multiples of 1 / POINT, which shortens them by a third.
+POINT = float(1 << 32)
+
+
+def _fixed(a: np.ndarray) -> np.ndarray:
+    return np.rint(a * POINT).astype(np.int64)
+
+
 def _row(part: int, kind: int, block: bytes, *arrays: np.ndarray) -> tuple:
     return part, kind, block, _pack(*arrays)
 
@@ -198,10 +206,11 @@ def _spread(docs: DataFrame, hot: list[str], pairs: np.ndarray, uni: np.ndarray,
             serial += 1
             spread_to = (TaskContext.get().partitionId() * 7919 + serial) % parts
             size = np.array([len(x) for x in texts])
+            trained = np.array(train, bool)
             doc = np.repeat(np.arange(n), size - 1)
             left = np.concatenate([x[:-1] for x in texts])
             right = np.concatenate([x[1:] for x in texts])
-            trained = np.array(train, bool)
+            texts = []
             top = np.uint64(HOT)
             lh, rh = left <= top, right <= top
             sums = np.zeros((n, _FIELDS))
@@ -218,7 +227,7 @@ def _spread(docs: DataFrame, hot: list[str], pairs: np.ndarray, uni: np.ndarray,
             rows = [_row(spread_to, LOCAL, block, np.array([x if x is not None else 0 for x in ids], np.int64), np.array([x is not None for x in ids], np.uint8), _small(size - 1), trained.astype(np.uint8), *[sums[:, f] for f in range(3)], *[_small(sums[:, f].astype(np.int64)) for f in range(3, _FIELDS)])]
             if len(backoff[0]):
                 for p, at in _slices((backoff[1] % np.uint64(parts)).astype(np.int64), parts):
-                    rows.append(_row(p, BACKOFF, block, _small(backoff[0][at]), backoff[1][at], _small(backoff[2][at])))
+                    rows.append(_row(p, BACKOFF, b"", np.frombuffer(block, np.uint64), _small(np.zeros(len(at), np.int64)), _small(backoff[0][at]), backoff[1][at], _small(backoff[2][at])))
             # each rare word with its places: as predicted token, as context, and in pairs
             rest = ~both
             d, a, b = doc[rest], left[rest], right[rest]
@@ -238,6 +247,7 @@ def _spread(docs: DataFrame, hot: list[str], pairs: np.ndarray, uni: np.ndarray,
             po = (code // n) % len(others) if len(others) else code
             pk = code // (n * max(1, len(others)))
             pr, pk = pk % 2, pk // 2
+            del key, other, left, right, doc, lh, rh, both, rest, both_rare, a, b, d, k, o, place, code
             ctx_code, ctx_n = np.unique(ctx[0].astype(np.int64) * n + ctx[1], return_counts=True)
             ck, cd = ctx_code // n, ctx_code % n
             owner = (words % np.uint64(parts)).astype(np.int64)
@@ -324,6 +334,8 @@ def _owned(uni: np.ndarray, parts: int):
         code, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         r = np.bincount(inverse, np.concatenate(weights), len(code)).astype(np.int64)
         at = 0
+        backoff = []
+        del keys, weights
         for i, x in zip(mine, parsed, strict=True):
             n = len(x[10])
             m = len(x[2])
@@ -342,9 +354,17 @@ def _owned(uni: np.ndarray, parts: int):
             d, ctx, times = _pair_sums(sums, x[5], x[6], pr_r, c_right, left, n)
             some = np.flatnonzero(np.abs(sums).sum(axis=1) > 0)
             part = sums[some]
-            rows.append(_row(-1, SUMS, block[i], _small(some), *[part[:, f] for f in range(3)], *[_small(part[:, f].astype(np.int64)) for f in range(3, _FIELDS)]))
+            rows.append(_row(-1, SUMS, block[i], _small(some), _fixed(part[:, BASE]), _small(part[:, KNOWN].astype(np.int64)), _fixed(part[:, FIXED]), *[_small(part[:, f].astype(np.int64)) for f in range(3, _FIELDS)]))
+            if len(d):
+                backoff.append((np.frombuffer(block[i], np.uint64), d, ctx, times))
+        # backoff of all blocks goes to its contexts' partitions together
+        if backoff:
+            names = np.concatenate([x[0] for x in backoff])
+            of = np.repeat(np.arange(len(backoff)), [len(x[1]) for x in backoff])
+            d, ctx, times = (np.concatenate([x[f] for x in backoff]) for f in (1, 2, 3))
             for p, s in _slices((ctx % np.uint64(parts)).astype(np.int64), parts):
-                rows.append(_row(p, BACKOFF, block[i], _small(d[s]), ctx[s], _small(times[s])))
+                some, local = np.unique(of[s], return_inverse=True)
+                rows.append(_row(p, BACKOFF, b"", names.reshape(-1, 2)[some].ravel(), _small(local), _small(d[s]), ctx[s], _small(times[s])))
         # per context: its count, its discounted pairs, and the unigram mass of what follows
         seen = r > 0
         code, r = code[seen], r[seen]
@@ -448,21 +468,31 @@ def _back_off(model):
             # nothing freed: the least that a count could leave, so that no text scores minus infinity
             alpha = np.maximum(freed, 1e-12) / np.maximum(1 - after, 1e-12)
             value = np.log10(alpha) + np.log10(count)
-        merged: dict[bytes, list] = {}
-        for k, b, x in zip(kind, block, data, strict=True):
+        names, of, doc, worth, base = [], [], [], [], 0
+        for k, x in zip(kind, data, strict=True):
             if k == BACKOFF:
-                d, c, n = _unpack(x)
+                name, local, d, c, n = _unpack(x)
                 if len(words):
                     at = np.minimum(np.searchsorted(words, c), len(words) - 1)
                     v = np.where(words[at] == c, value[at], 0.0)
                 else:
                     v = np.zeros(len(c))
-                merged.setdefault(bytes(b), []).append((d.astype(np.int64), v * n))
+                names.append(name.reshape(-1, 2))
+                of.append(local.astype(np.int64) + base)
+                base += len(name) // 2
+                doc.append(d.astype(np.int64))
+                worth.append(v * n)
         rows = []
-        for b, x in merged.items():
-            d, v = np.concatenate([y[0] for y in x]), np.concatenate([y[1] for y in x])
-            some, inverse = np.unique(d, return_inverse=True)
-            rows.append(_row(-1, BACKOFF, b, _small(some), np.bincount(inverse, v, len(some))))
+        if names:
+            blocks, which = np.unique(np.concatenate(names), axis=0, return_inverse=True)
+            d = np.concatenate(doc)
+            span = int(d.max()) + 1
+            key, inverse = np.unique(which.ravel()[np.concatenate(of)] * span + d, return_inverse=True)
+            total_ = np.bincount(inverse, np.concatenate(worth), len(key))
+            cut = np.searchsorted(key, np.arange(len(blocks) + 1) * span)
+            for i, b in enumerate(blocks):
+                s = slice(cut[i], cut[i + 1])
+                rows.append(_row(-1, BACKOFF, b.tobytes(), _small(key[s] - i * span), total_[s]))
         return pa.Table.from_batches([_batch(rows)] if rows else [], pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.binary()), ("data", pa.binary())]))
 
     return run
@@ -483,7 +513,10 @@ def _totals(model):
         for k, x in zip(kind, data, strict=True):
             if k == SUMS:
                 some, *cols = _unpack(x)
-                sums[some.astype(np.int64)] += np.stack([c.astype(np.float64) for c in cols], axis=1)
+                cols = [c.astype(np.float64) for c in cols]
+                cols[BASE] /= POINT
+                cols[FIXED] /= POINT
+                sums[some.astype(np.int64)] += np.stack(cols, axis=1)
             elif k == BACKOFF:
                 d, v = _unpack(x)
                 extra[d.astype(np.int64)] += v
