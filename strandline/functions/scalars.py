@@ -78,7 +78,7 @@ def parse_cigar(cigar: Column) -> Column:
         F.regexp_extract_all(cigar, F.lit(r"(\d*)(\D)"), 1).alias("n"),
         F.regexp_extract_all(cigar, F.lit(r"(\d*)(\D)"), 2).alias("op"),
     )
-    return F.transform(ops, lambda x: F.struct(F.when(x["0"] == "", 1).otherwise(x["0"].cast("int")).alias("len"), x["1"].alias("op")))
+    return F.transform(ops, lambda x: F.struct(F.when(x["n"] == "", 1).otherwise(x["n"].cast("int")).alias("len"), x["op"].alias("op")))
 
 
 def levenshtein_from_cigar(cigar: Column) -> Column:

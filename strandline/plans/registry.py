@@ -28,3 +28,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return _SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reference_queries.flagship(spark, sf_dir)
+
+
+from . import reference_queries  # noqa: E402  it registers its queries
