@@ -60,7 +60,8 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
 
     Without both classes the intercept gives the smoothed base rate.
     """
-    x = np.asarray(x, float).reshape(len(y), -1)
+    x = np.asarray(x, float)
+    x = x.reshape(len(y), x.shape[1] if x.ndim == 2 else 1)
     y = np.asarray(y, float)
     xb = np.hstack([x, np.ones((len(y), 1))])
     w = np.zeros(xb.shape[1])
