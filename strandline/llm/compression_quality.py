@@ -78,8 +78,10 @@ class _Sizes:
 
 
 def fit(sample: list[tuple[str, int]], dict_bytes: int = 65_536, level: int = 3) -> CompressionModel:
-    """Half of the sample makes the dictionaries, the other half calibrates the difference."""
-    first, second = sample[::2], sample[1::2]
+    """Half of each label makes its dictionary, the other half calibrates the difference."""
+    by_label = [[s for s in sample if s[1] == y] for y in (0, 1)]
+    first = [s for part in by_label for s in part[::2]]
+    second = [s for part in by_label for s in part[1::2]]
     cut = lambda y: [t.encode("utf-8")[:8192] for t, v in first if v == y]
     good, bad = _dictionary(cut(1), dict_bytes), _dictionary(cut(0), dict_bytes)
     sizes = _Sizes(good, bad, level)

@@ -226,7 +226,7 @@ def test_chat_events(spark):
 def test_top_k(spark):
     rnd = random.Random(8)
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(6)]) for i in range(300)]
-    rows += [(300, None), (301, [1.0, None, 0, 0, 0, 0]), (302, [float("nan")] * 6), (303, [1.0, 2.0]), (304, []), (None, [1.0] * 6), (7, rows[7][1]), (400, rows[0][1])]
+    rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [1.0, 2.0]), (304, []), (None, [1.0] * 6), (7, rows[7][1]), (400, rows[0][1])]
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<double>, score int")
     got = sorted(tuple(r) for r in vafile.top_k(df.filter("vec_id % 50 = 0"), df.repartition(4)).collect())
     import math
