@@ -191,6 +191,15 @@ def overlap(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np
     n = len(left)
     out = np.zeros((n, n if right is None else len(right)), np.float32)
     width = 8192
+    # most n-grams stand in one set only and can't overlap
+    if right is None:
+        shared = np.bincount(column, minlength=len(grams)) > 1
+    else:
+        side = row >= n
+        shared = (np.bincount(column[~side], minlength=len(grams)) > 0) & (np.bincount(column[side], minlength=len(grams)) > 0)
+    keep = shared[column]
+    row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
+    grams = grams[shared]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     cuts = np.searchsorted(column, np.arange(0, len(grams) + width, width))
@@ -306,7 +315,8 @@ def components_of(docs: DataFrame, shingle: int = 3, threshold: tuple[int, int]
 
 SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
