@@ -144,6 +144,16 @@ def judge(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & verdict(rules))
 
 
+def keep(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """The rows that `judge` keeps, with the columns of ``df``.
+
+    A filter on ``kept`` would be pushed below the measures and would repeat all of them
+    within its condition; tying it to a row number, which no filter passes, keeps it above.
+    """
+    judged = judge(df, text, rules).withColumn("__kept", F.col("kept") & (F.monotonically_increasing_id() >= 0))
+    return judged.filter("__kept").select(*df.columns)
+
+
 #: The same in DuckDB for {table}; windows are compared as text instead of by hash.
 SQL = r"""
 WITH t AS (
