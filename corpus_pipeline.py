@@ -20,7 +20,7 @@ LEAST_QUALITY = 0.1
 
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the rules keep; a null text has no words and goes."""
-    return quality_rules.judge(docs).filter("kept").select(*docs.columns)
+    return quality_rules.keep(docs)
 
 
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
