@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +26,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def decoder(ranks: dict[bytes, int]) -> dict[int, bytes]:
+    return {i: b for b, i in ranks.items()}
+
+
+def decode_ids(bytes_of: dict[int, bytes], ids: bytes | None) -> bytes:
+    if not ids:
+        return b""
+    return b"".join(map(bytes_of.__getitem__, memoryview(ids).cast("I").tolist()))
+
+
 class BytePairCodec:
     """Encodes and decodes with the ranks of a vocabulary file; no special tokens."""
 
@@ -34,7 +45,7 @@ class BytePairCodec:
 
         self.find = regex.compile(pattern).findall
         self.ranks = ranks
-        self.bytes_of = {i: b for b, i in ranks.items()}
+        self.bytes_of = decoder(ranks)
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
         self.auto = ahocorasick.Automaton()
         for b, i in ranks.items():
@@ -150,12 +161,11 @@ class BytePairCodec:
         return b"".join([cached[p] if p in cached else slow(p) for p in self.find(text)])
 
     def decode(self, ids: bytes | None) -> bytes:
-        if not ids:
-            return b""
-        return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I").tolist()))
+        return decode_ids(self.bytes_of, ids)
 
 
 _codecs: dict[tuple[str, str], BytePairCodec] = {}
+_decoders: dict[str, dict[int, bytes]] = {}
 
 
 def codec(path: str, pattern: str) -> BytePairCodec:
@@ -166,6 +176,13 @@ def codec(path: str, pattern: str) -> BytePairCodec:
     return _codecs[key]
 
 
+def decoding(path: str):
+    """Decoding needs the tokens' bytes only, so its workers build no automaton."""
+    if path not in _decoders:
+        _decoders[path] = decoder(load_ranks(path))
+    return partial(decode_ids, _decoders[path])
+
+
 def _mapped(df: DataFrame, source: str, target: str, function) -> DataFrame:
     keep = df.drop(target) if target != source else df
     schema = T.StructType([*keep.schema.fields, T.StructField(target, T.BinaryType())])
@@ -191,4 +208,4 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds column ``decoded``: the bytes of the ids (binary). Unknown ids raise KeyError."""
-    return _mapped(df, ids, decoded, lambda: codec(path, pattern).decode)
+    return _mapped(df, ids, decoded, lambda: decoding(path))
