@@ -29,6 +29,8 @@ from .components import connected
 
 #: n-grams of a block, at most about so many; bits of the filter of class ids (512 KB).
 BLOCK_GRAMS, BLOCK_SETS, FILTER_BITS = 400_000, 512, 22
+#: n-grams of the sets that ask for frequencies together, at most about so many.
+BATCH_GRAMS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,36 +139,129 @@ def families(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                     fps.append(np.full(len(s), fp, np.int64))
         if not sigs:
             return
-        sig, fp = np.concatenate(sigs), np.concatenate(fps)
-        # within the batch, a signature keeps its least set; the others link to that
-        order = np.lexsort((fp, sig))
-        sig, fp = sig[order], fp[order]
-        first = np.concatenate([[True], sig[1:] != sig[:-1]])
-        head = fp[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        rows = [(-1, *_edges(fp, head))]
-        sig, fp = sig[first], fp[first]
-        part = (sig % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        sig, fp, cut = sig[order], fp[order], np.searchsorted(part[order], np.arange(parts + 1))
-        rows += [(p, sig[cut[p] : cut[p + 1]].tobytes(), fp[cut[p] : cut[p + 1]].tobytes()) for p in range(parts) if cut[p + 1] > cut[p]]
-        rows[0] = (-1 - int(part[0]), *rows[0][1:])
-        yield _packed(rows)
-
-    def stars(t: pa.Table) -> pa.Table:
-        a = np.concatenate([np.frombuffer(v, np.uint64) for v in t.column("a").to_pylist()])
-        b = np.concatenate([np.frombuffer(v, np.int64) for v in t.column("b").to_pylist()])
-        if t.column("part")[0].as_py() < 0:
-            x, y = a.view(np.int64), b
-        else:
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            first = np.concatenate([[True], a[1:] != a[:-1]])
-            x, y = b, b[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        x, y = (np.frombuffer(v, np.int64) for v in _edges(x, y))
-        return pa.table({"a": x, "b": y})
+        yield _dealt(np.concatenate(sigs), np.concatenate(fps), parts)
 
     dealt = _sets(docs, size, emit, "part int, a binary, b binary")
-    return connected(dealt.groupBy("part").applyInArrow(stars, "a bigint, b bigint"))
+    return connected(dealt.groupBy("part").applyInArrow(_stars, "a bigint, b bigint"))
+
+
+def _dealt(sig: np.ndarray, fp: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Signatures of a batch's sets, packed by the partition that gathers each signature."""
+    # within the batch, a signature keeps its least set; the others link to that
+    order = np.lexsort((fp, sig))
+    sig, fp = sig[order], fp[order]
+    first = np.concatenate([[True], sig[1:] != sig[:-1]])
+    head = fp[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    rows = [(-1, *_edges(fp, head))]
+    sig, fp = sig[first], fp[first]
+    part = (sig % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    sig, fp, cut = sig[order], fp[order], np.searchsorted(part[order], np.arange(parts + 1))
+    rows += [(p, sig[cut[p] : cut[p + 1]].tobytes(), fp[cut[p] : cut[p + 1]].tobytes()) for p in range(parts) if cut[p + 1] > cut[p]]
+    rows[0] = (-1 - int(part[0]), *rows[0][1:])
+    return _packed(rows)
+
+
+def _stars(t: pa.Table) -> pa.Table:
+    a = np.concatenate([np.frombuffer(v, np.uint64) for v in t.column("a").to_pylist()])
+    b = np.concatenate([np.frombuffer(v, np.int64) for v in t.column("b").to_pylist()])
+    if t.column("part")[0].as_py() < 0:
+        x, y = a.view(np.int64), b
+    else:
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.concatenate([[True], a[1:] != a[:-1]])
+        x, y = b, b[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    x, y = (np.frombuffer(v, np.int64) for v in _edges(x, y))
+    return pa.table({"a": x, "b": y})
+
+
+def rare_families(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(node, comp) like ``families``, from prefixes of an order that has rare n-grams first.
+
+    For thresholds where fragments hold so few n-grams that unrelated texts share one. Linked
+    sets of n n-grams share one of their first n - ceil(t n) + 1 in any global order. This one
+    is by the logarithm of an n-gram's frequency, then by 40 bits of its hash: passages that
+    many texts share come last. N-grams that occur once signify nothing.
+
+    A batch of sets asks each partition of the order for the classes of its n-grams, counted
+    within the batch beforehand, so that a frequent n-gram is one entry per batch. The sets meet
+    the answers by batch. They are derived twice from ``docs``; should that come out different,
+    the batch has no answers and the job fails.
+    """
+    parts = 2 * shuffle_parts(docs.sparkSession)
+    schema = "batch bigint, part int, fps binary, lens binary, grams binary, bits binary"
+
+    def batches_of(sets):
+        done: dict[int, np.ndarray] = {}
+        held = 0
+        for g in sets:
+            if len(g) and (fp := fingerprint(g)) not in done:
+                done[fp] = g >> np.uint64(24)
+                held += len(g)
+                if held >= BATCH_GRAMS:
+                    yield done
+                    done, held = {}, 0
+        if done:
+            yield done
+
+    def order_of(grams):
+        """Distinct n-grams by partition, their places among all, and the partitions' bounds."""
+        uniq, at, count = np.unique(grams, return_inverse=True, return_counts=True)
+        part = (uniq % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        return uniq, at, count, order, np.searchsorted(part[order], np.arange(parts + 1))
+
+    def packed(rows):
+        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+        names = [c.split()[0] for c in schema.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def ask(_, sets):
+        for done in batches_of(sets):
+            uniq, _at, count, order, cut = order_of(np.concatenate(list(done.values())))
+            short, few = (uniq // np.uint64(parts)).astype(np.uint32)[order], np.minimum(count, 1 << 30).astype(np.uint32)[order]
+            name = fingerprint(np.array(list(done), np.int64))
+            yield packed([(name, p, None, None, short[cut[p] : cut[p + 1]].tobytes(), few[cut[p] : cut[p + 1]].tobytes()) for p in range(parts) if cut[p + 1] > cut[p]])
+
+    def hold(_, sets):
+        for done in batches_of(sets):
+            fps, lens, grams = np.array(list(done), np.int64), np.array([len(g) for g in done.values()], np.uint32), np.concatenate(list(done.values()))
+            yield packed([(fingerprint(fps), -1, fps.tobytes(), lens.tobytes(), (grams >> np.uint64(8)).astype(np.uint32).tobytes(), grams.astype(np.uint8).tobytes())])
+
+    def answer(t: pa.Table) -> pa.Table:
+        grams, counts = (np.concatenate([np.frombuffer(v, np.uint32) for v in t.column(c).to_pylist()]) for c in ("grams", "bits"))
+        _, at = np.unique(grams, return_inverse=True)
+        kind = np.log2(np.bincount(at, weights=counts)).astype(np.uint8)[at]
+        ends = np.cumsum([len(v) // 4 for v in t.column("grams").to_pylist()])
+        none = pa.nulls(len(t), pa.binary())
+        bits = pa.array([x.tobytes() for x in np.split(kind, ends[:-1])], pa.binary())
+        return pa.table({"batch": t.column("batch"), "part": t.column("part"), "fps": none, "lens": none, "grams": none, "bits": bits})
+
+    def prefixes(t: pa.Table) -> pa.Table:
+        rows = {r["part"]: r for r in t.to_pylist()}
+        if -1 not in rows or len(rows) < 2:
+            raise RuntimeError("the documents came in another order when read again")
+        held = rows[-1]
+        fps, lens = np.frombuffer(held["fps"], np.int64), np.frombuffer(held["lens"], np.uint32).astype(np.int64)
+        grams = (np.frombuffer(held["grams"], np.uint32).astype(np.uint64) << np.uint64(8)) | np.frombuffer(held["bits"], np.uint8)
+        uniq, at, _count, order, cut = order_of(grams)
+        kind = np.zeros(len(uniq), np.uint8)
+        for p in np.flatnonzero(np.diff(cut)):
+            kind[order[cut[p] : cut[p + 1]]] = np.frombuffer(rows[int(p)]["bits"], np.uint8)
+        kind = kind[at]
+        owner = np.repeat(np.arange(len(fps)), lens)
+        by_order = np.lexsort((grams, kind, owner))
+        rank = np.arange(len(grams)) - np.repeat(np.cumsum(lens) - lens, lens)
+        first = by_order[rank < np.repeat(lens + (-num * lens) // den + 1, lens)]
+        first = first[kind[first] > 0]
+        if not len(first):
+            return pa.Table.from_batches([_packed([])])
+        return pa.Table.from_batches([_dealt(grams[first], fps[owner[first]], parts)])
+
+    asked = _sets(docs, size, ask, schema).groupBy("part").applyInArrow(answer, schema)
+    met = asked.unionByName(_sets(docs, size, hold, schema)).groupBy("batch").applyInArrow(prefixes, "part int, a binary, b binary")
+    return connected(met.groupBy("part").applyInArrow(_stars, "a bigint, b bigint"))
 
 
 def _edges(x: np.ndarray, y: np.ndarray) -> tuple[bytes, bytes]:
@@ -180,7 +275,8 @@ def _edges(x: np.ndarray, y: np.ndarray) -> tuple[bytes, bytes]:
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
     kinds = {"part": pa.int32(), "a": pa.binary(), "b": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+    columns = zip(*rows, strict=True) if rows else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
 def overlap(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
@@ -270,7 +366,9 @@ def components_of(docs: DataFrame, shingle: int = 3, threshold: tuple[int, int]
 
     named = checkpointed(_sets(docs, shingle, rows, "doc_id bigint, n_shingles bigint, fp bigint"))
     classes = named.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"))
-    family = checkpointed(families(docs, shingle, num, den))
+    # below 0.85 a fragment holds under six n-grams
+    candidates = families if 100 * num >= 85 * den else rare_families
+    family = checkpointed(candidates(docs, shingle, num, den))
 
     # a filter of fixed size keeps texts outside of families from being packed again
     bits = family.select((F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))).cast("int").alias("bit")).distinct()
