@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Pre-tokens up to this many characters are kept in a worker's cache, at most so many.
-CACHED_CHARS, CACHED = 40, 400_000
+CACHED_CHARS, CACHED = 40, 200_000
+#: Pairs of tokens whose fit is memoised, at most so many.
+MEMO = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -79,7 +81,7 @@ class BytePairCodec:
         known = self.fits.get((a, b))
         if known is None:
             known = self.fits[a, b] = self._compatible(a, b)
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > MEMO:
                 self.fits.clear()
         return known
 
