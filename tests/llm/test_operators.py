@@ -113,6 +113,7 @@ def brute_components(rows, size, num, den):
 def test_jaccard_components(spark, monkeypatch, size, num, den):
     rnd = random.Random(size * num)
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)  # families of several blocks
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", 40)  # classes of some copies count as hot, others don't
     texts = []
     for n in (1, 2, 3, 4, 5, 6, 9, 12, 14, 20, 30, 45, 80, 200):
         base = [f"w{rnd.randint(0, 400)}" for _ in range(n)]
@@ -128,6 +129,12 @@ def test_jaccard_components(spark, monkeypatch, size, num, den):
     assert got == sorted(brute_components(rows, size, num, den))
 
 
+def test_jaccard_keeps_rows_without_id(spark):
+    df = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (3, "a b c d"), (None, "e f g"), (None, None)], "doc_id long, text string")
+    got = sorted(map(str, (tuple(r) for r in ngram_join.components_of(df).collect())))
+    assert got == sorted(map(str, [(None, 2, 3, 0), (None, 2, 3, 0), (3, 2, 3, 0), (None, 1, None, 0), (None, 0, None, 0)]))
+
+
 def test_jaccard_empty(spark):
     assert ngram_join.components_of(docs(spark, [])).count() == 0
 
