@@ -125,26 +125,45 @@ def _sets(df: DataFrame, size: int, emit, schema: str) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def families(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(node, comp): sets that share signatures, directly or through others."""
-    parts = 2 * shuffle_parts(docs.sparkSession)
+def named_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n_shingles, fp) of every row; fp is null where there is no set."""
+    return checkpointed(_sets(docs, size, lambda ids, sets: [_names(ids, sets)], "doc_id bigint, n_shingles bigint, fp bigint"))
+
+
+def _names(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    fps = [fingerprint(g) if len(g) else None for g in sets]
+    return pa.RecordBatch.from_arrays([ids, pa.array([len(g) for g in sets], pa.int64()), pa.array(fps, pa.int64())], names=["doc_id", "n_shingles", "fp"])
 
-    def emit(_, sets):
-        fps, sigs, done = [], [], set()
-        for g in sets:
-            if len(g):
-                fp = fingerprint(g)
-                if fp not in done:
-                    done.add(fp)
-                    s = signatures(g, num, den)
-                    sigs.append(s)
-                    fps.append(np.full(len(s), fp, np.int64))
-        if not sigs:
-            return
-        yield _dealt(np.concatenate(sigs), np.concatenate(fps), parts)
 
-    dealt = _sets(docs, size, emit, "part int, a binary, b binary")
-    return connected(dealt.groupBy("part").applyInArrow(_stars, "a bigint, b bigint"))
+def families(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``named_sets`` and (node, comp): sets that share signatures, directly or through others.
+
+    One pass over the texts makes both: rows of names have no part, rows of signatures one.
+    """
+    parts = 2 * shuffle_parts(docs.sparkSession)
+    schema = pa.schema({"doc_id": pa.int64(), "n_shingles": pa.int64(), "fp": pa.int64(), "part": pa.int32(), "a": pa.binary(), "b": pa.binary()})
+
+    def wide(batch: pa.RecordBatch) -> pa.RecordBatch:
+        has = batch.schema.names
+        return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name in has else pa.nulls(len(batch), f.type) for f in schema], schema=schema)
+
+    def emit(ids, sets):
+        names = _names(ids, sets)
+        yield wide(names)
+        sigs, fps, done = [], [], set()
+        for g, fp in zip(sets, names.column("fp").to_pylist(), strict=True):
+            if fp is not None and fp not in done:
+                done.add(fp)
+                s = signatures(g, num, den)
+                sigs.append(s)
+                fps.append(np.full(len(s), fp, np.int64))
+        if sigs:
+            yield wide(_dealt(np.concatenate(sigs), np.concatenate(fps), parts))
+
+    read = checkpointed(_sets(docs, size, emit, "doc_id bigint, n_shingles bigint, fp bigint, part int, a binary, b binary"))
+    named = checkpointed(read.filter("part is null").select("doc_id", "n_shingles", "fp"))
+    dealt = read.filter("part is not null").select("part", "a", "b")
+    return named, connected(dealt.groupBy("part").applyInArrow(_stars, "a bigint, b bigint"))
 
 
 def _dealt(sig: np.ndarray, fp: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -178,8 +197,8 @@ def _stars(t: pa.Table) -> pa.Table:
     return pa.table({"a": x, "b": y})
 
 
-def rare_families(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(node, comp) like ``families``, from prefixes of an order that has rare n-grams first.
+def rare_families(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``named_sets`` and (node, comp) like ``families``, from prefixes of an order that has rare n-grams first.
 
     For thresholds where fragments hold so few n-grams that unrelated texts share one. Linked
     sets of n n-grams share one of their first n - ceil(t n) + 1 in any global order. This one
@@ -263,7 +282,7 @@ def rare_families(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
     asked = _sets(docs, size, ask, schema).groupBy("part").applyInArrow(answer, schema)
     met = asked.unionByName(_sets(docs, size, hold, schema)).groupBy("batch").applyInArrow(prefixes, "part int, a binary, b binary")
-    return connected(met.groupBy("part").applyInArrow(_stars, "a bigint, b bigint"))
+    return named_sets(docs, size), connected(met.groupBy("part").applyInArrow(_stars, "a bigint, b bigint"))
 
 
 def _edges(x: np.ndarray, y: np.ndarray) -> tuple[bytes, bytes]:
@@ -371,15 +390,11 @@ def components_of(docs: DataFrame, shingle: int = 3, threshold: tuple[int, int]
     num, den = threshold
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
-    def rows(ids, sets):
-        fps = [fingerprint(g) if len(g) else None for g in sets]
-        yield pa.RecordBatch.from_arrays([ids, pa.array([len(g) for g in sets], pa.int64()), pa.array(fps, pa.int64())], names=["doc_id", "n_shingles", "fp"])
-
-    named = checkpointed(_sets(docs, shingle, rows, "doc_id bigint, n_shingles bigint, fp bigint"))
-    classes = named.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
     # below 0.85 a fragment holds under six n-grams
     candidates = families if 100 * num >= 85 * den else rare_families
-    family = checkpointed(candidates(docs, shingle, num, den))
+    named, family = candidates(docs, shingle, num, den)
+    family = checkpointed(family)
+    classes = named.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
 
     # a filter of fixed size keeps texts outside of families from being packed again
     bits = family.select((F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))).cast("int").alias("bit")).distinct()
