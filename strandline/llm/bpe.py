@@ -165,6 +165,11 @@ class BytePairCodec:
     def decode(self, ids: bytes | None) -> bytes:
         return decode_ids(self.bytes_of, ids)
 
+    def forget(self) -> None:
+        """Drops the memos; the tables stay."""
+        self.cache.clear()
+        self.fits.clear()
+
 
 _codecs: dict[tuple[str, str], BytePairCodec] = {}
 _decoders: dict[str, dict[int, bytes]] = {}
@@ -185,7 +190,7 @@ def decoding(path: str):
     return partial(decode_ids, _decoders[path])
 
 
-def _mapped(df: DataFrame, source: str, target: str, function) -> DataFrame:
+def _mapped(df: DataFrame, source: str, target: str, function, after=lambda: None) -> DataFrame:
     keep = df.drop(target) if target != source else df
     schema = T.StructType([*keep.schema.fields, T.StructField(target, T.BinaryType())])
 
@@ -195,6 +200,7 @@ def _mapped(df: DataFrame, source: str, target: str, function) -> DataFrame:
             at = batch.schema.get_field_index(source)
             made = pa.array([apply(v.as_py()) for v in batch.column(at)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[f.name for f in schema.fields])
+        after()
 
     return keep.mapInArrow(run, schema)
 
@@ -205,7 +211,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     Narrow: no shuffle, each text whole. Null or empty texts give empty ids. A column of
     the same name is replaced; other columns, repeated rows and their order stay.
     """
-    return _mapped(df, text, ids, lambda: codec(path, pattern).encode)
+    # workers outlive their tasks, and other stages' tasks need the memory
+    return _mapped(df, text, ids, lambda: codec(path, pattern).encode, lambda: codec(path, pattern).forget())
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
