@@ -190,16 +190,18 @@ def decoding(path: str):
     return partial(decode_ids, _decoders[path])
 
 
-def _mapped(df: DataFrame, source: str, target: str, function, after=lambda: None) -> DataFrame:
-    keep = df.drop(target) if target != source else df
-    schema = T.StructType([*keep.schema.fields, T.StructField(target, T.BinaryType())])
+def _mapped(df: DataFrame, source: str, targets: tuple[str, ...], function, after=lambda: None) -> DataFrame:
+    """Adds binary columns ``targets``; function() gives what makes a value's tuple of them."""
+    keep = df.drop(*(t for t in targets if t != source))
+    schema = T.StructType([*keep.schema.fields, *(T.StructField(t, T.BinaryType()) for t in targets)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = function()
         for batch in batches:
             at = batch.schema.get_field_index(source)
-            made = pa.array([apply(v.as_py()) for v in batch.column(at)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[f.name for f in schema.fields])
+            made = [apply(v.as_py()) for v in batch.column(at)]
+            columns = [pa.array([m[i] for m in made], pa.binary()) for i in range(len(targets))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[f.name for f in schema.fields])
         after()
 
     return keep.mapInArrow(run, schema)
@@ -212,9 +214,28 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     the same name is replaced; other columns, repeated rows and their order stay.
     """
     # workers outlive their tasks, and other stages' tasks need the memory
-    return _mapped(df, text, ids, lambda: codec(path, pattern).encode, lambda: codec(path, pattern).forget())
+    return _mapped(df, text, (ids,), lambda: _each(codec(path, pattern).encode), lambda: codec(path, pattern).forget())
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds column ``decoded``: the bytes of the ids (binary). Unknown ids raise KeyError."""
-    return _mapped(df, ids, decoded, lambda: decoding(path))
+    return _mapped(df, ids, (decoded,), lambda: _each(decoding(path)))
+
+
+def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode``, then ``decode`` of its ids, by one worker a task where the two apart take two."""
+
+    def both():
+        own = codec(path, pattern)
+
+        def apply(value):
+            made = own.encode(value)
+            return made, own.decode(made)
+
+        return apply
+
+    return _mapped(df, text, (ids, decoded), both, lambda: codec(path, pattern).forget())
+
+
+def _each(function):
+    return lambda value: (function(value),)

@@ -37,6 +37,8 @@ def test_bpe_equals_tiktoken(spark):
         t = texts[r.doc_id] or ""
         assert memoryview(bytes(r.ids)).cast("I").tolist() == own.encode_ordinary(t)
         assert bytes(r.decoded).decode() == t
+    both = bpe.encode_decode(docs(spark, texts, "ids decoded"), path, pattern)
+    assert sorted(map(str, both.collect())) == sorted(map(str, out))
     assert bpe.encode(docs(spark, []), path, pattern).count() == 0
 
 
