@@ -1,7 +1,8 @@
 """Placing reads on a target: seeds, chains, extension, strands, retention, variants.
 
 Relational steps are joins and windows; one grouped Arrow function chains and extends the
-reads of one task. The target is one broadcast value: its size is checked first.
+reads of one task. One target is a broadcast value, its size checked first; many targets stay
+a table, and placements take pieces of them along.
 """
 
 from __future__ import annotations
@@ -31,6 +32,22 @@ def tiles(target: DataFrame, size: int = 1_000_000, overlap: int = 50_000) -> Da
     return cut.select("id", (F.col("s") - 1).alias("offset"), F.substr("bases", F.col("s"), F.lit(size + overlap)).alias("bases"))
 
 
+def _stranded(reads: DataFrame, alphabet: str) -> DataFrame:
+    """(id, bases, strand, key) of reads in all orientations; key names one of them."""
+    both = reads.select(F.col("id").cast("string").alias("id"), "bases", F.lit("+").alias("strand"))
+    if alphabet == "dna":
+        both = both.union(both.select("id", reverse_complement(F.col("bases")), F.lit("-")))
+    return both.withColumn("key", F.concat("id", F.lit("\t"), "strand"))
+
+
+def _extend(q: bytes, window: bytes, strategy: str, gap_model: str) -> kernels.Alignment | None:
+    if gap_model == "affine":
+        return kernels.align_affine(q, window)
+    if strategy != "sensitive" and len(q) <= SHORT_QUERY:
+        return kernels.align_rows(q, window)
+    return kernels.align_wavefront(q, window, fitting=len(window) > len(q) + len(q) // 2 + 10)
+
+
 def place(reads: DataFrame, target_id: str, target: str, strategy: str = "balanced", gap_model: str = "linear", alphabet: str = "dna") -> DataFrame:
     """All extended chains of reads (id, bases) on both strands: ALIGNMENT.
 
@@ -43,10 +60,7 @@ def place(reads: DataFrame, target_id: str, target: str, strategy: str = "balanc
         raise ValueError("affine gaps need the sensitive strategy")
     spark = reads.sparkSession
     k, _ = DEFAULTS[alphabet]
-    both = reads.select(F.col("id").cast("string").alias("id"), "bases", F.lit("+").alias("strand"))
-    if alphabet == "dna":
-        both = both.union(both.select("id", reverse_complement(F.col("bases")), F.lit("-")))
-    both = both.withColumn("key", F.concat("id", F.lit("\t"), "strand"))
+    both = _stranded(reads, alphabet)
     t = spark.createDataFrame([(target_id, target)], "id string, bases string")
     seeds = find_seeds(sketch(both.select(F.col("key").alias("id"), "bases"), alphabet=alphabet), sketch(t, alphabet=alphabet))
     hits = seeds.groupBy(F.col("query_id").alias("key")).agg(F.collect_list(F.struct("query_pos", "target_pos")).alias("seeds"))
@@ -67,13 +81,7 @@ def place(reads: DataFrame, target_id: str, target: str, strategy: str = "balanc
                     continue
                 anchors = [(c, kernels.target_start(path)) for c, path in chains[:cap]] or [(0, 0)]
                 for rank, (score, start) in enumerate(anchors):
-                    window = whole[start : start + 2 * len(q)]
-                    if gap_model == "affine":
-                        a = kernels.align_affine(q, window)
-                    elif strategy != "sensitive" and len(q) <= SHORT_QUERY:
-                        a = kernels.align_rows(q, window)
-                    else:
-                        a = kernels.align_wavefront(q, window, fitting=len(window) > len(q) + len(q) // 2 + 10)
+                    a = _extend(q, whole[start : start + 2 * len(q)], strategy, gap_model)
                     if a is not None:
                         rows.append((i, strand, rank, score, start, start + a.target_end, a.cigar, a.edit_distance, len(q)))
         names = [x.split()[0] for x in ALIGNMENT.split(", ")]
@@ -86,11 +94,78 @@ def place(reads: DataFrame, target_id: str, target: str, strategy: str = "balanc
     return keyed.withColumn("slot", slot).groupBy("slot").applyInArrow(extend, ALIGNMENT)
 
 
+PLACED = "query_id string, target_id string, strand string, rank int, score bigint, target_start int, target_end int, cigar string, edit_distance int, query_length int"
+
+
+def place_all(reads: DataFrame, targets: DataFrame, strategy: str = "balanced", gap_model: str = "linear", alphabet: str = "dna") -> DataFrame:
+    """All extended chains of reads (id, bases) on every target (id, bases) they share a seed with: PLACED.
+
+    Each pair of a read and a target is treated as by `place`. A read without a seed in any
+    target has one row, whose score is 0 and whose target and alignment are null. Chains are made
+    from positions alone; then each anchor takes only its piece of the target along.
+    """
+    if gap_model == "affine" and strategy != "sensitive":
+        raise ValueError("affine gaps need the sensitive strategy")
+    spark = reads.sparkSession
+    both = _stranded(reads, alphabet)
+    targets = targets.select(F.col("id").cast("string").alias("id"), "bases")
+    # a target is one row, so its occurrence cap needs no exchange
+    seeds = find_seeds(sketch(both.select(F.col("key").alias("id"), "bases"), alphabet=alphabet), sketch(targets, alphabet=alphabet, floor=256), capped=False)
+    # ids may hold tabs; the strand is what follows the last one
+    seeds = seeds.select(F.expr("left(query_id, length(query_id) - 2)").alias("id"), F.expr("right(query_id, 1)").alias("strand"), "target_id", "query_pos", "target_pos")
+    hits = seeds.groupBy("id", "target_id").agg(F.collect_list(F.struct("strand", "query_pos", "target_pos")).alias("seeds"))
+    cap, params, strands = CHAINS[strategy], kernels.ChainParams(), "+-" if alphabet == "dna" else "+"
+
+    def chain(batches):
+        for b in batches:
+            rows = []
+            for i, target_id, seeds in zip(*(b.column(c).to_pylist() for c in ("id", "target_id", "seeds")), strict=True):
+                sides = [(st, kernels.chain_seeds([(s["query_pos"], s["target_pos"]) for s in seeds if s["strand"] == st], params)) for st in strands]
+                some = any(chains for _, chains in sides)
+                for strand, chains in sides:
+                    if some and not chains:
+                        continue
+                    anchors = [(c, kernels.target_start(path)) for c, path in chains[:cap]] or [(0, 0)]
+                    rows += [(i, target_id, strand, rank, score, start) for rank, (score, start) in enumerate(anchors)]
+            if rows:
+                kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32())
+                names = ("id", "target_id", "strand", "rank", "score", "start")
+                yield pa.RecordBatch.from_arrays([pa.array(c, kd) for c, kd in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    anchors = hits.mapInArrow(chain, "id string, target_id string, strand string, rank int, score bigint, start int")
+    # reads without anchors stay, each by a key of its own
+    placed = both.filter("strand = '+'").select("id", "bases").join(anchors, "id", "left")
+    placed = placed.select("id", "target_id", "strand", "rank", "score", "start", F.when(F.col("strand") == "-", reverse_complement(F.col("bases"))).otherwise(F.col("bases")).alias("q"), F.coalesce(F.concat(F.lit("t"), "target_id"), F.concat(F.lit("r"), "id")).alias("key"))
+    pieces = (
+        placed.join(targets.select(F.concat(F.lit("t"), "id").alias("key"), "bases"), "key", "left")
+        .select("id", "target_id", "strand", "rank", "score", "start", "q", F.substr("bases", F.col("start") + 1, 2 * F.length("q")).alias("piece"))
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "id", "target_id", "strand", "rank")
+    )
+
+    def extend(batches):
+        for b in batches:
+            rows = []
+            for i, target_id, strand, rank, score, start, q, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if target_id is None:
+                    rows.append((i, None, None, None, 0, None, None, None, None, len(q)))
+                    continue
+                a = _extend(q.encode(), piece.encode(), strategy, gap_model)
+                if a is not None:
+                    rows.append((i, target_id, strand, rank, score, start, start + a.target_end, a.cigar, a.edit_distance, len(q)))
+            if rows:
+                names = [x.split()[0] for x in PLACED.split(", ")]
+                kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, kd) for c, kd in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return pieces.mapInArrow(extend, PLACED)
+
+
 def score(alignments: DataFrame, retain: float = 0.95) -> DataFrame:
-    """Primary and retained alternates: least edits first, then the forward strand, then the
-    chain's rank. An alternate stays within ``retain`` of the primary's identity; where that
+    """Primary and retained alternates of each read, or of each read on each target where rows
+    have a target_id: least edits first, then the forward strand, then the chain's rank. An alternate stays within ``retain`` of the primary's identity; where that
     is not defined (empty reads, nothing in common) it does not."""
-    strand = Window.partitionBy("query_id").orderBy("edit_distance", "strand", "rank")
+    task = [c for c in ("query_id", "target_id") if c in alignments.columns]
+    strand = Window.partitionBy(*task).orderBy("edit_distance", "strand", "rank")
     best = alignments.withColumn("__r", F.row_number().over(strand)).withColumn("__strand", F.first("strand").over(strand)).withColumn("__edit", F.first("edit_distance").over(strand))
     top = 1 - F.col("__edit") / F.nullif(F.col("query_length"), F.lit(0))
     ratio = (1 - F.col("edit_distance") / F.nullif(F.col("query_length"), F.lit(0))) / F.nullif(top, F.lit(0.0))
@@ -121,3 +196,26 @@ def variants(primary: DataFrame, reads: DataFrame, target: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return j.mapInArrow(run, VARIANTS)
+
+
+def variants_all(primary: DataFrame, reads: DataFrame, targets: DataFrame) -> DataFrame:
+    """Observations of the primary alignments of place_all: VARIANTS with a target_id."""
+    oriented = reads.select(F.col("id").cast("string").alias("query_id"), "bases")
+    found = targets.select(F.col("id").cast("string").alias("target_id"), F.col("bases").alias("target"))
+    j = primary.filter("is_primary AND target_id IS NOT NULL").join(oriented, "query_id").join(found, "target_id").select(
+        "query_id", "target_id", "cigar", "target_start", "strand", "edit_distance",
+        F.when(F.col("strand") == "-", reverse_complement(F.col("bases"))).otherwise(F.col("bases")).alias("bases"),
+        F.substr("target", F.col("target_start") + 1, F.col("target_end") - F.col("target_start")).alias("piece"),
+    )
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, t, cigar, start, strand, edit, bases, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows += [(i, t, start + p, kind, ref, list(al.items()), strand, cigar, edit) for p, kind, ref, al in kernels.variants_of(cigar, 0, bases, piece)]
+            if rows:
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.int32()), pa.string(), pa.string(), pa.int32())
+                names = ("query_id", "target_id", *[x.split()[0] for x in VARIANTS.replace("string,int", "").split(", ")][1:])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return j.mapInArrow(run, VARIANTS.replace("query_id string", "query_id string, target_id string"))

@@ -64,8 +64,12 @@ def minimizers(bases: str, k: int, w: int, canonical: bool = True, order: str =
     return names[pos].tolist(), pos
 
 
-def sketch(seqs: DataFrame, k: int | None = None, w: int | None = None, alphabet: str = "dna", order: str = "poly") -> DataFrame:
-    """(seq_id, hash, pos) of sequences (id, bases), with an alphabet's defaults. Narrow."""
+def sketch(seqs: DataFrame, k: int | None = None, w: int | None = None, alphabet: str = "dna", order: str = "poly", floor: int | None = None) -> DataFrame:
+    """(seq_id, hash, pos) of sequences (id, bases), with an alphabet's defaults. Narrow.
+
+    floor: leaves out what occurrence_cap of that floor does, row by row; ids are taken to be
+    unique.
+    """
     dk, dw = DEFAULTS[alphabet]
     k, w = k or dk, w or dw
     if alphabet == "dna" and (w + k - 1) % 2 == 0:
@@ -77,6 +81,10 @@ def sketch(seqs: DataFrame, k: int | None = None, w: int | None = None, alphabet
             hashes, places, rows = [], [], []
             for i, v in enumerate(b.column(1)):
                 h, p = minimizers(v.as_py(), k, w, alphabet == "dna", order)
+                if floor is not None and len(h) > floor:
+                    _, which, n = np.unique(h, return_inverse=True, return_counts=True)
+                    rare = n[which] <= max(floor, 8 * np.sort(n)[len(n) // 2])
+                    h, p = [x for x, r in zip(h, rare, strict=True) if r], p[rare]
                 hashes += h
                 places.append(p)
                 rows.append(np.full(len(p), i))

@@ -537,19 +537,17 @@ def w_tandem_repeats(spark, d):
 
 @query()
 def x_align_reads(spark, d):
-    """Every benchmark passage placed on the longest document, both strands, with outcomes."""
-    target = seqs(spark, d).orderBy(F.length("bases").desc(), "id").first()
-    placed = align.place(seqs(spark, d, "benchmark", "item_id").filter("bases <> ''"), str(target["id"]), target["bases"])
-    return align.with_outcome(align.score(placed)).select("query_id", "strand", "rank", "target_start", "target_end", "cigar", "edit_distance", "is_primary", "outcome")
+    """Every benchmark passage placed on all documents it shares seeds with, both strands, with
+    outcomes; a passage without a seed anywhere has one row without a target."""
+    placed = align.place_all(seqs(spark, d, "benchmark", "item_id").filter("bases <> ''"), seqs(spark, d))
+    return align.with_outcome(align.score(placed)).select("query_id", "target_id", "strand", "rank", "target_start", "target_end", "cigar", "edit_distance", "is_primary", "outcome")
 
 
 @query()
 def x_variants(spark, d):
-    """Variants of the primary placements of x_align_reads."""
-    target = seqs(spark, d).orderBy(F.length("bases").desc(), "id").first()
-    reads = seqs(spark, d, "benchmark", "item_id").filter("bases <> ''")
-    placed = align.score(align.place(reads, str(target["id"]), target["bases"], "fast"))
-    return align.variants(placed, reads, target["bases"])
+    """Variants of the primary placements, one per passage and document, by the fast strategy."""
+    reads, documents = seqs(spark, d, "benchmark", "item_id").filter("bases <> ''"), seqs(spark, d)
+    return align.variants_all(align.score(align.place_all(reads, documents, "fast")), reads, documents)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

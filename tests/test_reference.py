@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import filters, scalars
-from strandline.operators import align, intervals, merge, planning, stats
-from strandline.plans import store
+from strandline.operators import align, intervals, merge, planning, sketch, stats
+from strandline.plans import reference_queries, store
 from strandline.sources import records, synthetic
 
 
@@ -75,6 +75,32 @@ def test_align_recovers_reads(spark):
     assert abs(found.filter("variant_type = 'snp'").count() - reads.agg(F.sum("n_subs")).first()[0]) <= 12
 
 
+def test_align_reads_on_all_documents(spark, tmp_path):
+    import random
+
+    rnd = random.Random(4)
+    say = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passages, spoilt = [say(120) for _ in range(4)], say(120)
+    flip = spoilt[:60] + ("b" if spoilt[60] in "aeimquy" else "a") + spoilt[61:]
+    texts = [say(900), say(50) + passages[0] + say(80), passages[1] + say(30) + passages[0], say(70) + flip + say(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(10, passages[0]), (11, passages[1]), (12, spoilt), (13, passages[3]), (14, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = reference_queries.x_align_reads(spark, str(tmp_path)).collect()
+    placed = {(r.query_id, r.target_id, r.target_start, r.edit_distance) for r in got if r.is_primary and r.outcome == "placed"}
+    assert placed == {("10", "1", 50, 0), ("10", "2", 150, 0), ("11", "2", 0, 0), ("12", "3", 70, 1)}
+    assert [(r.query_id, r.target_id, r.outcome) for r in got if r.target_id is None] == [("13", None, "no_seed")]
+    assert [(r.query_id, r.target_id, r.position, r.variant_type) for r in reference_queries.x_variants(spark, str(tmp_path)).collect()] == [("12", "3", 130, "snp")]
+
+
+def test_capped_by_row(spark):
+    texts = ["ACGTTGCATCGATCGGATTACAGGCATCAGGACT" * 400 + "TTGACCAGTAGGACCATTAGCACCAGATTTACCAGGGACATAT" * k for k in (1, 5, 300)]
+    seqs = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(texts)], "id string, bases string")
+    every = sketch.sketch(seqs)
+    got = sketch.find_seeds(every, sketch.sketch(seqs, floor=256), capped=False)
+    want = sketch.find_seeds(every, every)
+    assert got.count() == want.count() < sketch.find_seeds(every, every, capped=False).count() and got.exceptAll(want).count() == 0
+
+
 def test_planning_rules(spark):
     for bad in ({"reference": True, "worker": True}, {"sealed": True}, {"gap_model": "affine"}, {"alphabet": "rna"}):
         with pytest.raises(ValueError):
