@@ -5,22 +5,26 @@ approximation: one byte a component, the cell its integer lies in. A query first
 the cells of a block, which bound its score from above; exact vectors are then read in the
 order of their bounds until the kth best score reaches the next bound. Queries are dealt to
 candidates block by block, and only each block's best k come back.
+
+Vectors whose integers are large go into blocks of their own, without cells: there doubles
+with a bound of their error take the part of the cells, and Python integers give the scores.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Vectors of a candidate block and of a query block, and bytes a block may hold.
 BLOCK, QUERY_BLOCK, BLOCK_BYTES = 2048, 512, 1 << 20
 CELLS = 64
-#: Integers past this do not take part; below it scores of 2**20 components fit 64 bits.
+#: Integers past this are wide; below it scores of 2**20 components fit 64 bits.
 LARGEST = 1 << 21
 
 BLOCKS = "slot int, dim int, n int, ids binary, exact binary, cells binary, low binary, width binary"
@@ -34,19 +38,36 @@ def _pack(ids: np.ndarray, x: np.ndarray) -> dict:
     return {"dim": x.shape[1], "n": len(ids), "ids": ids.tobytes(), "exact": x.astype(np.int32).tobytes(), "cells": cells.tobytes(), "low": low.astype(np.int64).tobytes(), "width": width.astype(np.int64).tobytes()}
 
 
+def _wide(ids: np.ndarray, x: np.ndarray) -> dict:
+    """One block of wide vectors: their doubles as they are, without cells."""
+    return {"dim": x.shape[1], "n": len(ids), "ids": ids.tobytes(), "exact": x.tobytes(), "cells": b"", "low": b"", "width": b""}
+
+
+def _integers(raw: bytes, dim: int, n: int, scale: float) -> np.ndarray:
+    """A block's integers: 64-bit ones, or Python's where the block is wide."""
+    if len(raw) == 4 * dim * n:
+        return np.frombuffer(raw, np.int32).reshape(n, dim).astype(np.int64)
+    out = np.empty(dim * n, object)
+    for j, v in enumerate(np.frombuffer(raw, np.float64).tolist()):
+        y = scale * v
+        out[j] = math.floor(y) if math.isfinite(y) else math.floor(Fraction(v) * Fraction(scale))
+    return out.reshape(n, dim)
+
+
 def blocks(vectors: DataFrame, block: int, scale: float, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Packs rows into blocks of one dimension each. Narrow: a block is part of a partition.
 
-    Null ids or vectors, vectors with null or non-finite components, empty vectors and
-    vectors whose integers pass LARGEST take no part.
+    Null ids or vectors, vectors with null or non-finite components and empty vectors take no
+    part. Vectors whose integers reach LARGEST go into wide blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[tuple[int, bool], tuple[list, list]] = {}
 
-        def flush(dim: int) -> pa.RecordBatch:
-            ids, xs = held.pop(dim)
-            row = {"slot": int(ids[0]) & 0x7FFFFFFF} | _pack(np.array(ids, np.int64), np.array(xs, np.int64))
+        def flush(kind: tuple[int, bool]) -> pa.RecordBatch:
+            ids, xs = held.pop(kind)
+            ids = np.array(ids, np.int64)
+            row = {"slot": int(ids[0]) & 0x7FFFFFFF} | (_wide(ids, np.array(xs, np.float64)) if kind[1] else _pack(ids, np.array(xs, np.int64)))
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for b in batches:
@@ -54,15 +75,16 @@ def blocks(vectors: DataFrame, block: int, scale: float, id_: str = "vec_id", ve
                 if i is None or not v.is_valid or len(v) == 0 or v.values.null_count:
                     continue
                 x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)
-                if not np.isfinite(x).all() or (np.abs(x) * scale >= LARGEST).any():
+                if not np.isfinite(x).all():
                     continue
-                ids, xs = held.setdefault(len(x), ([], []))
+                wide = bool((np.abs(x) >= LARGEST / scale).any())
+                ids, xs = held.setdefault((len(x), wide), ([], []))
                 ids.append(i)
-                xs.append(np.floor(scale * x))
+                xs.append(x if wide else np.floor(scale * x))
                 if len(ids) >= max(1, min(block, BLOCK_BYTES // (4 * len(x)))):
-                    yield flush(len(x))
-        for dim in sorted(held):
-            yield flush(dim)
+                    yield flush((len(x), wide))
+        for kind in sorted(held):
+            yield flush(kind)
 
     arrow = pa.schema([("slot", pa.int32()), ("dim", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("ids", "exact", "cells", "low", "width"))])
     return vectors.select(F.col(id_).cast("bigint"), F.col(vector).cast("array<double>")).mapInArrow(run, BLOCKS)
@@ -116,11 +138,44 @@ def block_top_k(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray,
     return out
 
 
+def wide_top_k(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """block_top_k where integers of either side are Python's.
+
+    Doubles score all candidates to within dim + 4 roundings of the sum of absolute products;
+    those that may be among the best k are scored exactly.
+    """
+    x, q = x.astype(object), q.astype(object)
+    bits = max((int(v).bit_length() for side in (x, q) for v in side.flat), default=0)
+    out = []
+    if bits < 400:
+        xf, qf = x.astype(np.float64), q.astype(np.float64)
+        about, slack = qf @ xf.T, (np.abs(qf) @ np.abs(xf).T) * ((q.shape[1] + 4) * 2.0**-51)
+    for r in range(len(q)):
+        own = np.flatnonzero(ids != qid[r])
+        if bits < 400 and len(own) > k:
+            least = np.sort((about[r] - slack[r])[own])[-k]
+            own = own[(about[r] + slack[r])[own] >= least]
+        row = q[r].tolist()
+        best = sorted((-sum(a * b for a, b in zip(row, x[c].tolist(), strict=True)), int(ids[c])) for c in own)[:k]
+        out += [(int(qid[r]), i, -s) for s, i in best]
+    return out
+
+
+def _ordered(score: int) -> tuple[int, int | None, bytes | None]:
+    """(side, score, past): in this order they sort like the score. past holds one of over 64 bits."""
+    if -(1 << 63) <= score < 1 << 63:
+        return 0, score, None
+    size = (abs(score).bit_length() + 7) // 8
+    raw = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return (1, None, raw) if score > 0 else (-1, None, bytes(255 - b for b in raw))
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, *, scale: float = 256.0, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, exactly.
 
     A candidate of the query's own id is left out; vectors of other dimensions do not meet.
-    Queries with no candidate have no rows. Rows that repeat an id are candidates each.
+    Queries with no candidate have no rows. Rows that repeat an id are candidates each. Ranks are
+    exact for any finite vectors; a score of over 64 bits is null.
     Memory per task: one block of either side. Query blocks are copied to every slot of
     candidate blocks; a slot holds a few blocks, and no group is gathered.
     """
@@ -136,16 +191,21 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, *, scale: float
             for at in range(b.num_rows):
                 dim, ids, exact, cells, low, width, q_ids, q_exact = (c[at].as_py() for c in b.columns)
                 get = lambda raw, t: np.frombuffer(raw, t)
-                rows = block_top_k(
-                    get(q_exact, np.int32).reshape(-1, dim).astype(np.int64), get(q_ids, np.int64),
-                    get(exact, np.int32).reshape(-1, dim).astype(np.int64), get(ids, np.int64),
-                    get(cells, np.uint8).reshape(-1, dim), get(low, np.int64), get(width, np.int64), k,
-                )
+                ids, q_ids = get(ids, np.int64), get(q_ids, np.int64)
+                q, x = _integers(q_exact, dim, len(q_ids), scale), _integers(exact, dim, len(ids), scale)
+                if q.dtype == object or x.dtype == object:
+                    rows = wide_top_k(q, q_ids, x, ids, k)
+                else:
+                    rows = block_top_k(q, q_ids, x, ids, get(cells, np.uint8).reshape(-1, dim), get(low, np.int64), get(width, np.int64), k)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "vec_id", "score")]))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+                    query, vec, side, score, past = zip(*((a, b, *_ordered(s)) for a, b, s in rows), strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(side, pa.int32()), pa.array(score, pa.int64()), pa.array(past, pa.binary())],
+                        names=["query_id", "vec_id", "side", "score", "past"],
+                    )
+
+    found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, side int, score bigint, past binary")
+    w = Window.partitionBy("query_id").orderBy(F.col("side").desc(), F.col("score").desc(), F.col("past").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

@@ -248,3 +248,21 @@ def test_top_k(spark):
             want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert got == sorted(want)
     assert vafile.top_k(df.limit(0), df).count() == 0
+
+
+def test_top_k_of_large_vectors(spark):
+    import math
+
+    rnd = random.Random(9)
+    size = lambda i: (1, 1, 1e4, 1e9, 1e15, 1e200, 1e306)[i % 7]
+    rows = [(i, [rnd.uniform(-1, 1) * size(i) for _ in range(4)]) for i in range(140)]
+    rows += [(200, rows[3][1]), (201, rows[4][1]), (202, [8192.0, 0.0, 0.0, 0.0]), (203, [-8192.0, 1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in vafile.top_k(df, df).collect()}
+    floor = lambda x: math.floor(256 * x) if math.isfinite(256 * x) else 256 * int(x)
+    ints = [(i, [floor(x) for x in v]) for i, v in rows]
+    assert len(got) == 5 * len(rows)
+    for q, v in ints:
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ints if i != q)[:5]
+        for r, (s, i) in enumerate(best):
+            assert got[q, r + 1] == (i, -s if -(2**63) <= -s < 2**63 else None)
