@@ -90,6 +90,11 @@ class Trie:
         return None
 
 
+def without_one(word: str) -> list[str]:
+    """The word and what is left of it without one of its letters."""
+    return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
+
+
 class Matcher(dict):
     """raw token -> (strength, term), or 0 for most tokens. 1: exact, 2: misspelt."""
 
@@ -97,11 +102,8 @@ class Matcher(dict):
         super().__init__()
         self.trie = Trie(model.terms, model.stems)
         self.near = Trie(model.fuzzy)
-        # a word one edit away keeps the first or the second half of its term, and its length but one
-        self.halves: dict[int, tuple[tuple[str, ...], tuple[str, ...]]] = {}
-        for n in {len(t) + d for t in model.fuzzy for d in (-1, 0, 1)}:
-            near = [t for t in model.fuzzy if abs(len(t) - n) <= 1]
-            self.halves[n] = (tuple({t[: len(t) // 2] for t in near}), tuple({t[(len(t) + 1) // 2 :] for t in near}))
+        # a word one edit away, or the word without one letter, is a term or a term without one letter
+        self.shorter = {v for t in model.fuzzy for v in without_one(t)}
 
     def look(self, token: str):
         word = bare(token)
@@ -115,8 +117,7 @@ class Matcher(dict):
             term = self.trie.exact(plain)
             if term:
                 return (2, term)
-        halves = self.halves.get(len(plain))
-        if halves and (plain.startswith(halves[0]) or plain.endswith(halves[1])):
+        if not self.shorter.isdisjoint(without_one(plain)):
             term = self.near.within(plain, 1)
             if term:
                 return (2, term)

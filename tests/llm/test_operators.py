@@ -168,6 +168,18 @@ def test_levenshtein_automaton():
         assert (trie.within(word, 1) is not None) == hit, word
 
 
+def test_every_single_edit_is_found():
+    for term in ("stupid", "pathetic", "moron", "worthless"):
+        match, trie = toxicity.Matcher(toxicity.ToxicModel((), (), (term,))), toxicity.Trie((term,))
+        n = len(term)
+        edits = {term[:i] + c + term[i + d :] for i in range(n + 1) for c in ("x", "e", "") for d in (0, 1)}
+        edits |= {term[:i] + term[i + 1] + term[i] + term[i + 2 :] for i in range(n - 1)}
+        edits |= {term[:i] + "xx" + term[i + 2 :] for i in range(n)}
+        for word in edits:
+            assert (match[word] != 0) == (trie.within(word, 1) is not None), word
+    assert toxicity.Matcher(toxicity.ToxicModel((), (), ("stupid",)))["stpuid"] == (2, "stupid")
+
+
 def test_compression(spark):
     sample = labelled(300, [f"plain{i}" for i in range(80)], [f"$$${i}!!" for i in range(80)], 2)
     model = compression_quality.fit([(t, 1 - y) for t, y in sample])
