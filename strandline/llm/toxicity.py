@@ -37,7 +37,7 @@ CACHED = 300_000
 class ToxicModel:
     terms: tuple[str, ...]
     stems: tuple[str, ...]
-    #: Terms that may be misspelt: no clean text of the sample holds a word near them.
+    #: Terms and words of stem families that may be misspelt: few clean texts of the sample hold a word near them.
     fuzzy: tuple[str, ...]
     weights: tuple[float, ...] = field(default=())
 
@@ -70,12 +70,15 @@ class Trie:
 
     def within(self, word: str, most: int) -> str | None:
         """A term at most ``most`` edits away (transpositions count one), or None."""
+        return next(self.all_within(word, most), None)
+
+    def all_within(self, word: str, most: int) -> Iterator[str]:
         n = len(word)
         stack = [(self.root, list(range(n + 1)), None, "")]
         while stack:
             node, row, above, last = stack.pop()
             if "" in node and row[n] <= most:
-                return node[""]
+                yield node[""]
             for c, child in node.items():
                 if c in ("", "*"):
                     continue
@@ -87,7 +90,6 @@ class Trie:
                     new.append(d)
                 if min(new) <= most:
                     stack.append((child, new, row, c))
-        return None
 
 
 def without_one(word: str) -> list[str]:
@@ -198,12 +200,19 @@ def learn_lexicon(sample: list[tuple[str, int]], least: int = 5, odds: float = 4
             if top < 0.7 * sf[1][s]:
                 stems.append(s)
     terms = sorted(w for w in df[1] if marks(df[1][w], df[0][w]) and not any(w.startswith(s) for s in stems))
-    draft = ToxicModel(tuple(terms), tuple(stems), tuple(t for t in terms if len(t) >= 5))
+    families = {w for s in stems for w in kinds[s]}
+    draft = ToxicModel(tuple(terms), tuple(stems), tuple(sorted(w for w in {*terms, *families} if len(w) >= 4)))
     match = Matcher(draft)
     noisy = Counter()
+    blame: dict[str, set[str]] = {}
     for text, y in texts:
         if y == 0:
-            noisy.update({h[1] for h in map(match.__getitem__, WORD.findall(text)) if h and h[0] == 2})
+            tokens = set(WORD.findall(text))
+            for w in tokens - blame.keys():
+                h = match[w]
+                # every term near the word, or another would take the place of the one left out
+                blame[w] = {h[1], *match.near.all_within(bare(w).translate(LEET), 1)} if h and h[0] == 2 else set()
+            noisy.update({t for w in tokens for t in blame[w]})
     fuzzy = tuple(t for t in draft.fuzzy if noisy[t] <= n[0] / 1000)
     return ToxicModel(draft.terms, draft.stems, fuzzy)
 

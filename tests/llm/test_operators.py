@@ -168,6 +168,17 @@ def test_levenshtein_automaton():
         assert (trie.within(word, 1) is not None) == hit, word
 
 
+def test_short_terms_and_stem_families_are_found_misspelt():
+    good = [f"clean{i}" for i in range(200)] + ["mould"]
+    bad = ("scum", "idiot", "idiots", "idiotic", "idiocy", "mold")
+    sample = [(t + (f" {bad[i // 2 % 6]} " if y else " mould "), y) for i, (t, y) in enumerate(labelled(600, good, good, 5))]
+    model = toxicity.fit(sample)
+    assert "idio" in model.stems and "scum" in model.terms
+    match = toxicity.Matcher(model)
+    assert match["scumm"] == match["sucm"] == match["scu"] == (2, "scum") and match["idoit"] == (2, "idiot")
+    assert "mold" in model.terms and match["mould"] == 0 and match["clean7"] == 0
+
+
 def test_every_single_edit_is_found():
     for term in ("stupid", "pathetic", "moron", "worthless"):
         match, trie = toxicity.Matcher(toxicity.ToxicModel((), (), (term,))), toxicity.Trie((term,))
