@@ -40,25 +40,38 @@ IMPLIED = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words in class, id and role that mark what is not the article.
+#: Words in class, id and role that mark what is not the article, where it holds no more than half of the text.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|"
+    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bno[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|"
     r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|footer|masthead|header|comments?|discussion|replies|disqus|"
     r"respond|related|recommend\w*|share|sharing|social|toolbar|pagination|pager|search|login|signup|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
-KEPT_TAGS = frozenset("html body article main".split())
+KEPT_TAGS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+
+
+def _marks(attrs: str, tag: str) -> tuple[bool, bool]:
+    """Whether an element is hidden, and whether its class, id or role has a word of NOISE."""
+    hidden = noise = False
+    for name, a, b, c in _ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _UNSEEN.search(value):
+            hidden = hidden or tag not in ("html", "body", "article", "main")
+        elif name in ("class", "id", "role") and tag not in KEPT_TAGS and NOISE.search(value):
+            noise = True
+    return hidden, noise
 
 
 class Node:
-    __slots__ = ("tag", "items", "parent", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "items", "parent", "noise", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: "Node | None", noise: bool = False):
         self.tag, self.parent, self.noise = tag, parent, noise
+        self.marked = False
         self.items: list = []  # Node or str
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -134,9 +147,11 @@ def parse(page: str) -> Node:
             at = at.parent
         attrs = m[3]
         noise = tag in DROPPED
-        if not noise and attrs and tag not in KEPT_TAGS:
-            noise = any(NOISE.search(a or b or c) for a, b, c in _MARK.findall(attrs)) or _HIDDEN.search(attrs) is not None
+        marked = False
+        if not noise and attrs:
+            noise, marked = _marks(attrs, tag)
         node = Node(tag, at, noise)
+        node.marked = marked
         at.items.append(node)
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
@@ -149,6 +164,39 @@ def parse(page: str) -> Node:
     return root
 
 
+def prune(root: Node) -> None:
+    """Makes noise of marked elements that hold no article or main element and at most half
+    of the page's text, or more where an article or main element has text of its own."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(x for x in node.items if isinstance(x, Node) and not x.noise)
+    if not any(x.marked for x in order):
+        return
+    chars: dict[Node, int] = {}
+    holds: set[Node] = set()
+    for node in reversed(order):
+        chars[node] = sum(len("".join(x.split())) if isinstance(x, str) else chars.get(x, 0) for x in node.items)
+        if node.tag in ("article", "main") and chars[node] or any(isinstance(x, Node) and x in holds for x in node.items):
+            holds.add(node)
+    for node in order:
+        if node.marked and node not in holds and (2 * chars[node] <= chars[root] or _outside(node, holds)):
+            node.noise = True
+
+
+def _outside(node: Node, holds: set[Node]) -> bool:
+    """Whether a page that has article or main elements keeps them all apart from the node."""
+    up = node.parent
+    while up is not None:
+        if up.tag in ("article", "main"):
+            return False
+        if up in holds:
+            return True
+        up = up.parent
+    return False
+
+
 def measure(root: Node) -> list[Node]:
     """Counts and densities, children first; noise counts for nothing. The nodes in page order."""
     order, stack = [], [root]
@@ -218,6 +266,7 @@ def extract_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    prune(root)
     order = measure(root)
     if not root.chars:
         return ""

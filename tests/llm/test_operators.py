@@ -84,6 +84,17 @@ def test_html(spark):
     assert len(out) == 6 and out[0] == out[1] and out[2:4] == [(2, ""), (3, "")] and out[5] == (5, "deep")
 
 
+def test_html_keeps_articles_in_marked_wrappers():
+    prose = "<h2 class='section-header'>Head</h2>" + "<p>" + "word " * 80 + "</p>" + "<p title='the hidden gem' data-id='nav'>" + "more " * 80 + "</p>"
+    want = "Head\n\n" + " ".join(["word"] * 80) + "\n\n" + " ".join(["more"] * 80)
+    side = "<div class='sidebar'><p>side text</p></div><div hidden>unseen</div><p aria-hidden=true>unseen</p>"
+    for wrap in ("layout has-sidebar", "content no-sidebar", "page-wrapper with-header", "header", "page side"):
+        assert html_extract.extract_text(f"<body>{side}<div class='{wrap}'>{prose}</div>{side}</body>") == want, wrap
+        assert html_extract.extract_text(f"<body><div class='{wrap}'>{side}<div>{prose}</div></div></body>") == want, wrap
+    assert html_extract.extract_text(f"<body><div class='widget'><article>{prose}</article></div><p>{'other ' * 300}</p></body>").startswith("Head\n\nword")
+    assert html_extract.extract_text(f"<body><article><p>{'word ' * 20}</p></article><div id='comments'><p>{'bad ' * 300}</p></div></body>") == " ".join(["word"] * 20)
+
+
 # ---------------------------------------------------------------- 4
 def brute_components(rows, size, num, den):
     sets = []
