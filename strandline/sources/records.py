@@ -34,7 +34,7 @@ def sniff(path: str, data: bytes) -> str:
     if name.endswith(".bam"):
         return "bam"
     if name.endswith(".cram") or data[:4] == b"CRAM":
-        raise InvalidFormat(f"{path}: CRAM with an external reference is not supported; convert it to BAM")
+        raise InvalidFormat(f"{path}: CRAM is not supported, with or without an external reference; convert it to BAM")
     first = data[:1]
     if not data:
         return ""
