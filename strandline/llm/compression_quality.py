@@ -82,7 +82,8 @@ def fit(sample: list[tuple[str, int]], dict_bytes: int = 65_536, level: int = 3)
     by_label = [[s for s in sample if s[1] == y] for y in (0, 1)]
     first = [s for part in by_label for s in part[::2]]
     second = [s for part in by_label for s in part[1::2]]
-    cut = lambda y: [t.encode("utf-8")[:8192] for t, v in first if v == y]
+    # whole texts, in samples of up to 8 KB
+    cut = lambda y: [raw[at : at + 8192] for raw in (t.encode("utf-8") for t, v in first if v == y) for at in range(0, len(raw), 8192)]
     good, bad = _dictionary(cut(1), dict_bytes), _dictionary(cut(0), dict_bytes)
     sizes = _Sizes(good, bad, level)
     x = np.array([sizes.feature(t) for t, _ in second])

@@ -213,6 +213,15 @@ def test_compression(spark):
     assert compression_quality.fit([]).good == b""
 
 
+def test_dictionaries_learn_from_whole_texts(monkeypatch):
+    seen = []
+    monkeypatch.setattr(compression_quality, "_dictionary", lambda samples, size: seen.append(samples) or b"")
+    texts = [("plain " * 50, 1), ("bad " * 50, 0), ("x" * 20_000 + "late", 1), ("y" * 8192 + "late", 0)]
+    compression_quality.fit([r for r in texts for _ in range(2)])
+    assert [b"".join(s) for s in seen] == [b"".join(t.encode() for t, y in texts if y == k) for k in (1, 0)]
+    assert max(len(x) for s in seen for x in s) <= 8192
+
+
 def test_labelled_sample(spark):
     d = docs(spark, [f"t{i}" for i in range(50)] + [None])
     lab = spark.createDataFrame([(i, i % 2 if i % 7 else None) for i in range(51)], "doc_id long, quality int")
