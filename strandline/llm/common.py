@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever signs it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def fold(id_col: str | Column, k: int) -> Column:
     """crc32(id as text) mod k; a null id counts as remainder -1, in no fold."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -36,14 +41,30 @@ def fold(id_col: str | Column, k: int) -> Column:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage in spark.checkpoint.dir, which executors share.
 
-    Only where the session has no such folder (tests, a laptop) is one made.
+    Where the session has no such folder, a local master gets one; on a cluster, whose
+    executors could not read it, that is an error.
     """
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-checkpoint-"))
+    context = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+#: Keys of more than one row in so many are joined by broadcast; there are fewer of them than this.
+HOT_SHARE = 2000
+
+
+def spread_join(rows: DataFrame, about: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``about``, which has one row a key and the key's number of rows
+    in ``count``, summing to ``total`` at most. Rows of frequent keys and of none stay where they are."""
+    hot = F.broadcast(about.filter(F.col(count) * HOT_SHARE > total))
+    still = rows.join(hot, key, "left").filter(F.col(key).isNull() | F.col(count).isNotNull())
+    dealt = rows.filter(F.col(key).isNotNull()).join(hot, key, "left_anti").join(about, key, "left")
+    return still.unionByName(dealt)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that nobody holds any more. Its cleaner acts
     when the driver collects garbage, which a small heap of plans may not do for long."""

@@ -5,29 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, spread_join
 
 
-def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, comp) for all ends of edges (a, b); comp is the least node that is reached.
 
     Each round links every node to the least of its neighbourhood, first over all neighbours,
-    then over smaller ones; rounds grow with the logarithm of a component's breadth. Edges
-    stay distributed, are cut from their lineage each round, and no neighbourhood is gathered:
-    its least member is a partial aggregate. Self-loops and repeats do no harm.
+    then over smaller ones; rounds grow with the logarithm of a component's breadth and go on
+    until a round changes nothing. Edges stay distributed, are cut from their lineage each
+    round, and no neighbourhood is gathered: its least member is a partial aggregate, and rows
+    of a node with very many neighbours meet it by broadcast. Self-loops, repeats and edges
+    without an end do no harm; no edges give no rows.
     """
     e = checkpointed(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct())
-    last = None
-    for _ in range(max_rounds):
+    seen = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+    now, last = seen(e), None
+    while now != last:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
-        m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(m, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        m = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(m, "hi")
+        m = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both.filter("v > u"), m, "u", "n", 2 * now[0]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        m = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, m, "hi", "n", 2 * now[0])
         e = checkpointed(small.select("hi", F.col("m").alias("lo")).union(small.filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct())
-        # every node of a star hangs on its least node: no node is both an upper and a lower end
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
+        now, last = seen(e), now
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(e.select("lo", "lo").distinct())

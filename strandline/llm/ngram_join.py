@@ -24,15 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, checkpointed, shuffle_parts
+from .common import WORD, ascii_lower, checkpointed, shuffle_parts, spread_join
 from .components import connected
 
 #: n-grams of a block, at most about so many; bits of the filter of class ids (512 KB).
 BLOCK_GRAMS, BLOCK_SETS, FILTER_BITS = 400_000, 512, 22
 #: n-grams of the sets that ask for frequencies together, at most about so many.
 BATCH_GRAMS = 2_000_000
-#: Keys of more than one row in so many are joined by broadcast; there are fewer of them than this.
-HOT_SHARE = 2000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -369,15 +367,6 @@ def _verify(num: int, den: int):
     return run
 
 
-def _spread(rows: DataFrame, about: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """``rows`` left-joined with ``about``, which has one row a key and the key's number of rows
-    in ``count``, summing to ``total`` at most. Rows of frequent keys and of none stay where they are."""
-    hot = F.broadcast(about.filter(F.col(count) * HOT_SHARE > total))
-    still = rows.join(hot, key, "left").filter(F.col(key).isNull() | F.col(count).isNotNull())
-    dealt = rows.filter(F.col(key).isNotNull()).join(hot, key, "left_anti").join(about, key, "left")
-    return still.unionByName(dealt)
-
-
 def components_of(docs: DataFrame, shingle: int = 3, threshold: tuple[int, int] = (90, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) per row of ``docs`` (doc_id, text).
 
@@ -414,7 +403,7 @@ def components_of(docs: DataFrame, shingle: int = 3, threshold: tuple[int, int]
 
     sized = checkpointed(family.join(classes, family.node == classes.fp).groupBy("comp").agg(F.sum("n").alias("grams_n"), F.count("*").alias("sets_n")))
     blocks = F.greatest(F.ceil(F.col("grams_n") / BLOCK_GRAMS), F.ceil(F.col("sets_n") / BLOCK_SETS)).cast("int")
-    plan = _spread(family, sized.select("comp", "sets_n", blocks.alias("nb")), "comp", "sets_n", family.count()).select(F.col("node").alias("fp"), "comp", "nb")
+    plan = spread_join(family, sized.select("comp", "sets_n", blocks.alias("nb")), "comp", "sets_n", family.count()).select(F.col("node").alias("fp"), "comp", "nb")
     sets = _sets(docs, shingle, members, "fp bigint, grams binary").join(plan, "fp").dropDuplicates(["fp"])
     blk = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
     sets = sets.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -431,9 +420,9 @@ def components_of(docs: DataFrame, shingle: int = 3, threshold: tuple[int, int]
     counted = links.groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n_links"))
     by_class = checkpointed(classes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").join(counted, "fp", "left"))
     least = by_class.filter("comp is not null").groupBy("comp").agg(F.min("least").alias("component"), F.count("*").alias("classes"))
-    by_class = _spread(by_class, least, "comp", "classes", family.count())
+    by_class = spread_join(by_class, least, "comp", "classes", family.count())
     by_class = checkpointed(by_class.select("fp", "copies", F.coalesce("component", "least").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return _spread(named, by_class, "fp", "copies", named.count()).select(
+    return spread_join(named, by_class, "fp", "copies", named.count()).select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
     )
 
