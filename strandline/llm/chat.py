@@ -2,8 +2,9 @@
 
 Logs hold events of conversations: a message, deltas that are streamed onto it, edits that
 replace it, regenerations that start it anew, deletions. Logs are dealt by conversation and
-sorted by message and sequence; one pass folds the events of a message into its final text
-and renders it, holding one message at a time however long the conversation.
+message, so that a conversation of very many messages is the work of many tasks, and sorted
+by sequence; one pass folds the events of a message into its final text and renders it,
+holding one message at a time. Rendered turns come in the order of message and part.
 
 The rendered form of a turn is ``<|im_start|>ROLE\\nTEXT<|im_end|>\\n``. In roles and texts
 each ``<``, backslashes, ``|`` gets one backslash more, so that no text holds a control
@@ -17,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,12 +44,14 @@ def unescape_role(role: str) -> str:
 
 
 #: One row for each event. kind: message (sets role and text), delta (appends), edit
-#: (replaces the text), regenerate (empties it), delete (drops the message).
-EVENTS = "conv_id bigint, message bigint, seq bigint, kind string, role string, text string"
+#: (replaces the text), regenerate (empties it), delete (drops the message). part tells
+#: messages of one number apart; a log without that column has part 0.
+EVENTS = "conv_id bigint, message bigint, part bigint, seq bigint, kind string, role string, text string"
 RENDERED = T.StructType(
     [
         T.StructField("conv_id", T.LongType()),
-        T.StructField("ord", T.LongType()),
+        T.StructField("message", T.LongType()),
+        T.StructField("part", T.LongType()),
         T.StructField("rendered", T.StringType()),
         T.StructField("loss_start", T.LongType()),
         T.StructField("loss_end", T.LongType()),
@@ -57,80 +60,84 @@ RENDERED = T.StructType(
 
 
 def render(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """Final turns in order: conv_id, ord (from 0), rendered, and the span under the loss mask.
+    """Final turns: conv_id, message, part, rendered, and the span under the loss mask.
 
     The span counts code points of ``rendered``; both ends are null where nothing is trained
-    on. A conversation's text is its rendered turns, joined in the order of ord. Null texts
-    and roles are empty; unknown kinds are ignored; a delta, edit or regeneration without a
-    message makes one of role ''. Repeated events apply as often as they stand. Ties of
-    sequence are taken by kind, role and text. Null conversations are one of their own.
+    on. A conversation's text is its rendered turns, joined in the order of (message, part),
+    a null number first. Null texts and roles are empty; unknown kinds are ignored; a delta,
+    edit or regeneration without a message makes one of role ''. Repeated events apply as
+    often as they stand. Ties of sequence are taken by kind, role and text. Null conversations
+    are one of their own. Other columns are left out; no events give no turns.
     """
-    cols = ["conv_id", "message", "seq", "kind", "role", "text"]
-    dealt = (
-        events.select(*cols)
-        .repartition("conv_id")
-        .sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text")
-    )
+    cols = ["conv_id", "message", "part", "seq", "kind", "role", "text"]
+    if "part" not in events.columns:
+        events = events.withColumn("part", F.lit(0).cast("bigint"))
+    dealt = events.select(*cols).repartition("conv_id", "message", "part").sortWithinPartitions(*cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: list | None = None  # [conv, message, role, text parts, live]
-        conv, ord_, out = object(), 0, []
+        now: list | None = None  # [key, role, text parts, live]
+        out: list[tuple] = []
 
         def close() -> None:
-            nonlocal conv, ord_
-            if now is None or not now[4]:
+            if now is None or not now[3]:
                 return
-            if now[0] != conv:
-                conv, ord_ = now[0], 0
-            head = f"{START}{escape_role(now[2])}\n"
-            body = escape("".join(now[3]))
-            trained = now[2] == loss_role
-            span = (len(head), len(head) + len(body)) if trained else (None, None)
-            out.append((now[0], ord_, f"{head}{body}{END}\n", *span))
-            ord_ += 1
+            head = f"{START}{escape_role(now[1])}\n"
+            body = escape("".join(now[2]))
+            span = (len(head), len(head) + len(body)) if now[1] == loss_role else (None, None)
+            out.append((*now[0], f"{head}{body}{END}\n", *span))
 
         for b in batches:
-            for c, m, _, kind, role, text in zip(*(col.to_pylist() for col in b.columns), strict=True):
-                if now is None or (now[0], now[1]) != (c, m):
+            for c, m, p, _, kind, role, text in zip(*(col.to_pylist() for col in b.columns), strict=True):
+                if now is None or now[0] != (c, m, p):
                     close()
-                    now = [c, m, "", [], False]
+                    now = [(c, m, p), "", [], False]
                 if kind == "message":
-                    now[2], now[3], now[4] = role or "", [text or ""], True
+                    now[1:] = role or "", [text or ""], True
                 elif kind == "delta":
-                    now[3].append(text or "")
-                    now[4] = True
+                    now[2].append(text or "")
+                    now[3] = True
                 elif kind == "edit":
-                    now[3], now[4] = [text or ""], True
+                    now[2:] = [text or ""], True
                 elif kind == "regenerate":
-                    now[3], now[4] = [], True
+                    now[2:] = [], True
                 elif kind == "delete":
-                    now[3], now[4] = [], False
+                    now[2:] = [], False
                 if len(out) >= 2000:
-                    yield _batch(out)
+                    yield _batch(out, RENDERED)
                     out.clear()
         close()
         if out:
-            yield _batch(out)
+            yield _batch(out, RENDERED)
 
     return dealt.mapInArrow(run, RENDERED)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[f.name for f in RENDERED.fields])
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    kinds = {T.LongType(): pa.int64(), T.StringType(): pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType]) for c, f in zip(zip(*rows, strict=True), schema.fields, strict=True)], names=schema.names)
 
 
-DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+DIGESTS = T.StructType(
+    [
+        T.StructField("conv_id", T.LongType()),
+        T.StructField("n_turns", T.LongType()),
+        T.StructField("turns_sha256", T.StringType()),
+        T.StructField("loss_chars", T.LongType()),
+        T.StructField("loss_sha256", T.StringType()),
+        T.StructField("formatted_chars", T.LongType()),
+    ]
+)
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
     """Digests of each conversation, parsed from the rendered turns in one ordered pass.
 
-    A conversation of any length takes the memory of one turn: digests are updated as turns
-    pass. Rows of a conversation that lack turns still give what they hold.
+    A digest of a whole conversation is sequential, so a conversation is one task's work
+    here; it takes the memory of one turn, as digests are updated while turns pass. Rows of a
+    conversation that lack turns still give what they hold; no rows give none.
     """
-    cols = ["conv_id", "ord", "rendered", "loss_start", "loss_end"]
-    dealt = rendered.select(*cols).repartition("conv_id").sortWithinPartitions("conv_id", "ord")
+    cols = ["conv_id", "message", "part", "rendered", "loss_start", "loss_end"]
+    dealt = rendered.select(*cols).repartition("conv_id").sortWithinPartitions("conv_id", "message", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list | None = None
@@ -142,7 +149,7 @@ def read_back(rendered: DataFrame) -> DataFrame:
                 out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), size))
 
         for b in batches:
-            for c, _, text, lo, hi in zip(*(col.to_pylist() for col in b.columns), strict=True):
+            for c, _, _, text, lo, hi in zip(*(col.to_pylist() for col in b.columns), strict=True):
                 if state is None or state[0] != c:
                     close()
                     state = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -155,39 +162,29 @@ def read_back(rendered: DataFrame) -> DataFrame:
                     state[3] += len(part)
                     state[4].update(part.encode())
             if len(out) >= 2000:
-                yield _digest_batch(out)
+                yield _batch(out, DIGESTS)
                 out.clear()
         close()
         if out:
-            yield _digest_batch(out)
+            yield _batch(out, DIGESTS)
 
     return dealt.mapInArrow(run, DIGESTS)
 
 
-def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    names = [x.split()[0] for x in DIGESTS.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A finished table of turns as events: each row one message, in the order of turn.
+    """A finished table of turns as events: each row one message, numbered by its turn.
 
     Rows of equal turn stay apart, in the order of role and text; exact repeats all stay.
-    The message number holds turn and that order, so that no window over a conversation
-    is needed to number them: ``message`` is the turn, and rows that share a turn are
-    numbered among themselves.
+    Any turn that fits 64 bits will do, and a null one comes first. Null roles and texts are
+    empty; other columns are left out.
     """
-    from pyspark.sql import Window
-
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    rows = conversations.select("conv_id", "turn", empty("role"), empty("text"))
-    w = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    place = F.row_number().over(w).cast("bigint")
-    turn = F.coalesce(F.col("turn").cast("bigint"), F.lit(-(1 << 40)))
+    rows = conversations.select("conv_id", F.col("turn").cast("bigint").alias("message"), empty("role"), empty("text"))
+    w = Window.partitionBy("conv_id", "message").orderBy("role", "text")
     return rows.select(
         "conv_id",
-        (turn * F.lit(1 << 20) + place).alias("message"),
+        "message",
+        F.row_number().over(w).cast("bigint").alias("part"),
         F.lit(0).cast("bigint").alias("seq"),
         F.lit("message").alias("kind"),
         "role",
