@@ -8,11 +8,11 @@ and put in the order of a hash of seed, id and copy: a global shuffle.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import named, shuffle_parts
+
 #: Up to so many sources the rates are sent to all tasks (under 1 MB); more are joined.
 MAX_BROADCAST_SOURCES = 10_000
 SALT = 64
@@ -25,21 +25,21 @@ def uniform(*parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, source: str, weights: dict[str, float] | None, epochs: float, flatten: float) -> DataFrame:
-    """(__source, rate): rate = share * epochs * all rows / the source's rows.
+    """(source, rate): rate = share * epochs * all rows / the source's rows.
 
     Shares are ``weights`` over their sum; without weights, rows ** flatten over their sum.
     Sources that the weights do not name get rate 0. Null is a source of its own, named ''.
     """
-    counts = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("__source")).agg(F.count("*").alias("__n"))
+    counts = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).agg(F.count("*").alias("n"))
     if weights:
         pairs = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))])
-        counts = counts.withColumn("__w", F.coalesce(F.try_element_at(pairs, F.col("__source")), F.lit(0.0)))
+        counts = counts.withColumn("w", F.coalesce(F.try_element_at(pairs, F.col("source")), F.lit(0.0)))
     else:
-        counts = counts.withColumn("__w", F.pow(F.col("__n").cast("double"), F.lit(flatten)))
-    totals = counts.agg(F.sum("__n").alias("__all"), F.sum("__w").alias("__sum"))
-    rate = F.col("__w") / F.col("__sum") * F.lit(float(epochs)) * F.col("__all") / F.col("__n")
+        counts = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(flatten)))
+    totals = counts.agg(F.sum("n").alias("whole"), F.sum("w").alias("sum"))
+    rate = F.col("w") / F.col("sum") * F.lit(float(epochs)) * F.col("whole") / F.col("n")
     # one row beside one row per source
-    return counts.join(F.broadcast(totals)).select("__source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    return counts.join(F.broadcast(totals)).select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def poisson_count(u: Column, rate: Column) -> Column:
@@ -80,27 +80,43 @@ def mix(
 ) -> DataFrame:
     """Rows of ``docs`` times their Poisson counts, with copy (from 0) and position (0 to 1).
 
-    The result is ordered globally by position, over range partitions. Rows that share a key
-    share a count. A null key draws as the text '' does. An empty table gives an empty one;
-    columns named like the two new ones are replaced. No row is collected; a hot source is
-    no key of any exchange but that of the counts, which are summed before it.
+    The result is ordered globally by position: partition i of n holds the positions from i/n
+    to (i+1)/n, in order. Rows that share a key share a count. A null key draws as the text ''
+    does, a null source is a source. An empty table gives an empty one. Columns named ``copy``
+    and ``position`` are replaced, all others stay, whatever their names. No row is collected;
+    a hot source is no key of any exchange but that of the counts, which are summed before it.
     """
-    docs = docs.drop(copy, position, "__source", "rate")
-    rate = rates(docs, source, weights, epochs, flatten)
-    named = docs.withColumn("__source", F.coalesce(F.col(source), F.lit("")))
+    docs = docs.drop(copy, position)
+    own = _fresh(docs.columns, "source", "rate", "n", "slot")
+    rate = rates(docs, source, weights, epochs, flatten).toDF(own["source"], own["rate"])
+    dealt = docs.withColumn(own["source"], F.coalesce(F.col(source), F.lit("")))
     if rate.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
-        named = named.join(F.broadcast(rate), "__source")
+        dealt = dealt.join(F.broadcast(rate), own["source"])
     else:
-        slot = F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int")
-        spread = rate.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        named = named.withColumn("__slot", F.coalesce(slot, F.lit(0))).join(spread, ["__source", "__slot"]).drop("__slot")
+        slot = F.coalesce(F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int"), F.lit(0))
+        spread = rate.withColumn(own["slot"], F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        dealt = dealt.withColumn(own["slot"], slot).join(spread, [own["source"], own["slot"]])
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    count = poisson_count(uniform(F.lit(seed), F.lit("count"), name), F.col("rate"))
-    out = named.withColumn("__n", count).filter("__n > 0")
-    out = out.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    count = poisson_count(uniform(F.lit(seed), F.lit("count"), name), F.col(own["rate"]))
+    out = dealt.withColumn(own["n"], count).filter(F.col(own["n"]) > 0)
+    out = out.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(own["n"]) - 1)))
     out = out.withColumn(position, uniform(F.lit(seed), F.lit("place"), name, F.col(copy)))
-    out = out.drop("__source", "rate", "__n")
-    return out.repartitionByRange(position).sortWithinPartitions(position)
+    # positions are uniform, so that equal ranges hold equal shares and no sample is needed
+    parts = shuffle_parts(docs.sparkSession)
+    place = F.least(F.floor(F.col(position) * parts).cast("int"), F.lit(parts - 1))
+    return out.select(*map(named, [*docs.columns, copy, position])).repartitionById(parts, place).sortWithinPartitions(position)
+
+
+def _fresh(taken: list[str], *names: str) -> dict[str, str]:
+    """A name for each use that no column has, in any case."""
+    taken = {c.lower() for c in taken}
+    out = {}
+    for n in names:
+        made = f"__{n}"
+        while made in taken:
+            made += "_"
+        out[n] = made
+    return out
 
 
 #: The query's result in DuckDB, for rates up to 600 (one part).
