@@ -1,7 +1,8 @@
 """Quality rules: one table of thresholds, compiled into one projection of native expressions.
 
 No user function runs. `measure` adds the counts, `verdict` compiles a table of rules over
-ratios of them. Trigrams of words are compared by hashes within one text.
+ratios of them. Windows of three words are sorted by hashes within one text; equal hashes
+count only where the words are equal.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPLIT
+from .common import WORD_SPLIT, named
 
 #: Common function words of the languages served.
 STOP_WORDS = (
@@ -38,89 +39,122 @@ class Rule:
 RULES = (
     Rule("mean_word_chars", "word_chars", "n_words", 2.0, 14.0),
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.10),
-    Rule("stop_words", "n_stop_words", None, 2, None),
+    Rule("stop_words", "n_stop_words", "n_words", 0.01, None),
     Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.50),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 0.30),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 0.90),
 )
 
 
-#: A trigram's key keeps this many low bits of its hash for the place in the text.
+#: A window's key keeps this many low bits for its place, in texts of so many words at most;
+#: longer texts sort pairs of hash and place.
 PLACE_BITS = 17
+#: Bits of a window's hash that are kept; tests lower it, so that hashes collide.
+HASH_BITS = 64
 
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the rules' counts.
 
-    A null text has no words or lines. Columns of these names are replaced. Long texts are
-    measured whole: every step is linear in the words but one sort of their trigrams.
+    A null text has no words or lines. Columns of these names are replaced, others stay, and
+    repeated rows stay repeated; an empty table gives an empty one. Long texts are measured
+    whole: every step is linear in the words but one sort of their windows.
     """
     made = [
         "n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines",
         "n_ellipsis_lines", "n_bullet_lines", "n_repeat_words",
     ]
     keep = [c for c in df.columns if c not in made]
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(named(text), F.lit(""))
     step = df.select(
-        *[F.col(c) for c in keep],
+        *map(named, keep),
         F.array_remove(F.split(body, WORD_SPLIT), "").alias("__words"),
         F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"),
         body.alias("__text"),
     )
-    stop = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
+    stop = sorted(set(STOP_WORDS))
     lines = F.col("__lines")
     step = step.select(
-        *[F.col(c) for c in keep],
-        F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"),
+        *map(named, keep),
+        F.col("__words"),
         F.size("__words").cast("long").alias("n_words"),
         (F.length("__text") - F.regexp_count("__text", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
         F.regexp_count("__text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
-        F.size(F.array_intersect("__words", stop)).cast("long").alias("n_stop_words"),
+        F.size(F.filter("__words", lambda w: w.isin(stop))).cast("long").alias("n_stop_words"),
         F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long").alias("n_ellipsis_lines"),
         F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09-\x0D]*[•*-]"))).cast("long").alias("n_bullet_lines"),
     )
-    return step.select(*[F.col(c) for c in keep], *[F.col(c) for c in made[:-1]], repeated_words("__hashes").alias("n_repeat_words"))
+    return step.select(*map(named, keep), *[F.col(c) for c in made[:-1]], repeated_words(F.col("__words")).alias("n_repeat_words"))
 
 
-def repeated_words(hashes: str) -> Column:
-    """Words covered by windows of three that stand twice or more; ``hashes``: one per word.
+def _let(value: Column, then) -> Column:
+    """then(x) with x bound to the value, which so is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
-    A window's key is the upper 47 bits of its hash over its place, so that one sort of
-    primitive longs brings equal windows together. Texts beyond 2^17 words sort structs.
+
+def repeated_words(words: Column) -> Column:
+    """Words covered by windows of three that stand twice or more in the array of words.
+
+    A window's key is the upper bits of its hash over its place, so that one sort of primitive
+    longs brings equal windows together; texts beyond 2^17 words sort pairs of both. Neighbours
+    of equal hash are then compared word by word. Should two of them differ, the text's windows
+    are sorted once more, by their words.
     """
-    h = F.col(hashes)
-    gram = lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))
     places = (1 << PLACE_BITS) - 1
+    kept = ((1 << 64) - (1 << (64 - HASH_BITS))) - (1 << 64)  # as a signed number
+
+    def gram(h: Column, x: Column, i: Column) -> Column:
+        return F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)).bitwiseAND(F.lit(kept))
 
-    def packed() -> Column:
-        keys = F.transform(h, lambda x, i: gram(x, i).bitwiseAND(F.lit(~places)).bitwiseOR(i.cast("long")))
+    def whole(made: Column) -> Column:
+        return F.slice(made, 1, F.greatest(F.size(words) - 2, F.lit(0)))
+
+    def packed(h: Column) -> Column:
+        keys = F.transform(h, lambda x, i: gram(h, x, i).bitwiseAND(F.lit(~places)).bitwiseOR(i.cast("long")))
         same = lambda x, y: F.shiftright(x.bitwiseXOR(y), PLACE_BITS) == 0
-        hits = lambda s: F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
-        places_of = lambda s: F.transform(hits(s), lambda x: x.bitwiseAND(F.lit(places)).cast("int"))
-        return F.element_at(F.transform(F.array(F.sort_array(windows(keys))), lambda s: covered(places_of(s))), 1)
+        return _let(F.sort_array(whole(keys)), lambda s: _let(twins(s, same), lambda t: counted(t, same, lambda x: x.bitwiseAND(F.lit(places)).cast("int"))))
 
-    def wide() -> Column:
-        keys = F.transform(h, lambda x, i: F.struct(gram(x, i).alias("g"), i.alias("i")))
+    def paired(h: Column) -> Column:
+        keys = F.transform(h, lambda x, i: F.struct(gram(h, x, i).alias("g"), i.alias("i")))
         same = lambda x, y: x["g"] == y["g"]
-        hits = lambda s: F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
-        places_of = lambda s: F.transform(hits(s), lambda x: x["i"])
-        return F.element_at(F.transform(F.array(F.sort_array(windows(keys))), lambda s: covered(places_of(s))), 1)
+        return _let(F.sort_array(whole(keys)), lambda s: _let(twins(s, same), lambda t: counted(t, same, lambda x: x["i"])))
+
+    def by_words() -> Column:
+        keys = F.transform(words, lambda x, i: F.struct(x.alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"), i.alias("i")))
+        same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+        return _let(F.sort_array(whole(keys)), lambda s: covered(F.transform(twins(s, same), lambda x: x["i"])))
 
-    def windows(keys: Column) -> Column:
-        return F.slice(keys, 1, F.greatest(F.size(h) - 2, F.lit(0)))
+    def twins(s: Column, same) -> Column:
+        return F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
 
-    def covered(places_: Column) -> Column:
+    def counted(t: Column, same, place) -> Column:
+        """Words covered by the windows of t, or -1 where neighbours of equal hash differ."""
+
+        def differ(x: Column, k: Column) -> Column:
+            y = F.get(t, k - 1)
+            i, j = place(x), place(y)
+            unequal = F.lit(False)
+            for step in range(3):
+                unequal = unequal | (F.get(words, i + step) != F.get(words, j + step))
+            return (k > 0) & same(x, y) & unequal
+
+        clash = F.size(F.filter(t, differ)) > 0
+        return F.when(clash, F.lit(-1)).otherwise(covered(F.transform(t, place)))
+
+    def covered(at: Column) -> Column:
         start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
         return F.aggregate(
-            F.sort_array(places_),
+            F.sort_array(at),
             start,
             lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")),
             lambda a: a["n"],
         )
 
-    return F.when(F.size(h) <= places, packed()).otherwise(wide()).cast("long")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    found = _let(hashes, lambda h: F.when(F.size(h) <= places, packed(h)).otherwise(paired(h)))
+    return _let(found, lambda n: F.when(n >= 0, n).otherwise(by_words())).cast("long")
 
 
 def verdict(rules=RULES) -> Column:
@@ -139,19 +173,24 @@ def base_failed() -> Column:
 
 
 def judge(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """`measure` with base_failed and kept; kept is false where base_failed is true."""
+    """`measure` with base_failed and kept; kept is false where base_failed is true.
+
+    Nulls, repeats and empty tables are as in `measure`: a null or empty text fails. No row goes.
+    """
     out = measure(df.drop("base_failed", "kept"), text)
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & verdict(rules))
 
 
 def keep(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The rows that `judge` keeps, with the columns of ``df``.
+    """The rows that `judge` keeps, with the columns of ``df``, in their own values even where
+    they are named like a measure. Null and empty texts go; equal rows stay or go together.
 
     A filter on ``kept`` would be pushed below the measures and would repeat all of them
     within its condition; tying it to a row number, which no filter passes, keeps it above.
     """
-    judged = judge(df, text, rules).withColumn("__kept", F.col("kept") & (F.monotonically_increasing_id() >= 0))
-    return judged.filter("__kept").select(*df.columns)
+    rows = df.select(named(text).alias("__body"), F.struct(*map(named, df.columns)).alias("__row"))
+    judged = judge(rows, "__body", rules).withColumn("__kept", F.col("kept") & (F.monotonically_increasing_id() >= 0))
+    return judged.filter("__kept").select("__row.*")
 
 
 #: The same in DuckDB for {table}; windows are compared as text instead of by hash.
@@ -172,7 +211,7 @@ m AS (
   SELECT g.doc_id, len(words)::BIGINT AS n_words,
          length(regexp_replace(body, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(body, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-         len(list_intersect(words, [{stop}]))::BIGINT AS n_stop_words,
+         len(list_filter(words, lambda x: x IN ({stop})))::BIGINT AS n_stop_words,
          len(lines)::BIGINT AS n_lines,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$')))::BIGINT AS n_ellipsis_lines,
