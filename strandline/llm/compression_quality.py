@@ -1,12 +1,18 @@
 """Compression classifier: two zstandard dictionaries, one of good and one of bad text.
 
 A text that the good dictionary shortens more than the bad one resembles good text. The
-difference of the two compressed sizes over the size without a dictionary is the one
-feature; logistic regression on the labelled sample turns it into a probability.
+feature is the difference of the two compressed sizes over the size without a dictionary;
+logistic regression on the labelled sample turns it into a probability. Text that repeats
+itself needs no dictionary, and its difference says nothing; so the regression also sees how
+far the text shrinks without one, as the logarithm of that size over the text's.
+
+Sizes are of windows of 1 KB, so that a long text does not drown its dictionary; all windows
+of a text count.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,30 +25,36 @@ from pyspark.sql import types as T
 from .common import logistic_fit, sigmoid
 
 
+#: Bytes that are compressed together.
+WINDOW = 1024
+
+
 @dataclass(frozen=True)
 class CompressionModel:
     good: bytes
     bad: bytes
-    weights: tuple[float, float]
+    weights: tuple[float, float, float]  # of the difference, of the shrinkage, and the intercept
     level: int = 3
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int = 7) -> list[tuple[str, int]]:
-    """At most ``per_class`` texts of each label, the smallest by a hash of the id.
+    """At most ``per_class`` texts of each label, those of the least hashes of their ids.
 
-    A bounded sample: the documented parameter per_class bounds what reaches the driver, and
-    top-k by hash takes the same rows at any partitioning. Null labels and texts are left out.
+    A bounded sample: the documented parameter per_class bounds the ids and, by itself, the
+    texts that reach the driver; top-k by hash takes the same rows at any partitioning. Where
+    rows repeat an id, its least text counts, once. Null ids, labels and texts are left out,
+    and a row labelled both ways is a row of each label.
     """
     rows = []
-    known = labels.select(F.col("doc_id"), F.col(label).alias("__y")).filter(F.col("__y").isin(0, 1)).distinct()
+    known = labels.select(F.col("doc_id"), F.col(label).alias("__y")).filter(F.col("__y").isin(0, 1) & F.col("doc_id").isNotNull()).distinct()
+    texts = docs.select("doc_id", "text").filter("text is not null")
     for y in (0, 1):
         key = F.xxhash64(F.lit(seed), "doc_id")
-        chosen = known.filter(F.col("__y") == y).orderBy(key, "doc_id").limit(per_class)
         # ids first, so that only the chosen texts move
-        ids = [r[0] for r in chosen.select("doc_id").collect()]
+        ids = [r[0] for r in known.filter(F.col("__y") == y).select("doc_id").orderBy(key, "doc_id").limit(per_class).collect()]
         if ids:
-            picked = docs.select("doc_id", "text").filter(F.col("doc_id").isin(ids) & F.col("text").isNotNull())
-            rows += [(r[0], y) for r in picked.orderBy("doc_id", "text").limit(2 * per_class).select("text").collect()]
+            picked = texts.filter(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("text").alias("text"))
+            rows += [(r[0], y) for r in picked.orderBy("doc_id").select("text").collect()]
     return rows
 
 
@@ -64,21 +76,29 @@ class _Sizes:
         make = lambda d: z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d), **plain) if d else z.ZstdCompressor(**plain)
         self.good, self.bad, self.none = make(good), make(bad), z.ZstdCompressor(**plain)
 
-    def feature(self, text: str | None) -> float:
+    def features(self, text: str | None) -> tuple[float, float]:
+        """(bad - good) / plain of the compressed sizes, and log(plain / bytes); zeros without a text."""
         raw = (text or "").encode("utf-8")
         if not raw:
-            return 0.0
-        total = good = bad = 0
-        for at in range(0, len(raw), 4096):  # windows, so that a long text does not drown its dictionary
-            part = raw[at : at + 4096]
+            return 0.0, 0.0
+        plain = good = bad = 0
+        for at in range(0, len(raw), WINDOW):
+            part = raw[at : at + WINDOW]
             good += len(self.good.compress(part))
             bad += len(self.bad.compress(part))
-            total += len(part)
-        return (bad - good) / total
+            plain += len(self.none.compress(part))
+        return (bad - good) / plain, math.log(plain / len(raw))
+
+
+def probability(features: tuple[float, float], weights: tuple[float, float, float]) -> float:
+    return sigmoid(features[0] * weights[0] + features[1] * weights[1] + weights[2])
 
 
 def fit(sample: list[tuple[str, int]], dict_bytes: int = 65_536, level: int = 3) -> CompressionModel:
-    """Half of each label makes its dictionary, the other half calibrates the difference."""
+    """Half of each label makes its dictionary, the other half fits the regression.
+
+    Without rows of a label its dictionary is empty, and the score is the base rate of the rest.
+    """
     by_label = [[s for s in sample if s[1] == y] for y in (0, 1)]
     first = [s for part in by_label for s in part[::2]]
     second = [s for part in by_label for s in part[1::2]]
@@ -86,17 +106,18 @@ def fit(sample: list[tuple[str, int]], dict_bytes: int = 65_536, level: int = 3)
     cut = lambda y: [raw[at : at + 8192] for raw in (t.encode("utf-8") for t, v in first if v == y) for at in range(0, len(raw), 8192)]
     good, bad = _dictionary(cut(1), dict_bytes), _dictionary(cut(0), dict_bytes)
     sizes = _Sizes(good, bad, level)
-    x = np.array([sizes.feature(t) for t, _ in second])
-    y = np.array([v for _, v in second])
-    scale = 20.0  # differences are a few hundredths
-    w = logistic_fit(x * scale, y)
-    return CompressionModel(good, bad, (float(w[0] * scale), float(w[1])), level)
+    scale = np.array([10.0, 1.0])  # differences are a few hundredths
+    x = np.array([sizes.features(t) for t, _ in second]).reshape(len(second), 2) * scale
+    w = logistic_fit(x, np.array([v for _, v in second]))
+    return CompressionModel(good, bad, (*map(float, w[:2] * scale), float(w[2])), level)
 
 
 def score(df: DataFrame, model: CompressionModel, text: str = "text", out: str = "score") -> DataFrame:
-    """Adds ``out``: the probability of good quality. Null and empty texts get the base score.
+    """Adds ``out``: the probability of good quality. Null and empty texts are
+    scored as features of 0; equal texts get equal scores.
 
     Narrow, whole texts; the model (two dictionaries of fixed size) travels with the tasks.
+    A column named ``out`` is replaced, others stay; an empty table gives an empty one.
     """
     keep = df.drop(out)
     schema = T.StructType([*keep.schema.fields, T.StructField(out, T.DoubleType())])
@@ -105,7 +126,7 @@ def score(df: DataFrame, model: CompressionModel, text: str = "text", out: str =
         sizes = _Sizes(model.good, model.bad, model.level)
         for b in batches:
             col = b.column(b.schema.get_field_index(text))
-            made = [sigmoid(model.weights[0] * sizes.feature(v.as_py()) + model.weights[1]) for v in col]
+            made = [probability(sizes.features(v.as_py()), model.weights) for v in col]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.float64())], names=[f.name for f in schema.fields])
 
     return keep.mapInArrow(run, schema)
