@@ -1,18 +1,21 @@
 """Toxicity: a lexicon trie, Levenshtein automata for misspelt terms, context windows.
 
 The lexicon is learned: words, and stems of word families, that mark toxic texts of the
-labelled sample. A word that is no term is run against the trie by a Levenshtein automaton
-(its states are rows of edit distances, advanced letter by letter along the trie). The words
-around each hit tell quotation and report from abuse. Counts so weighted go into a logistic
-regression fitted on the same sample.
+labelled sample. A word that is no term is compiled into a Levenshtein automaton, whose
+states are sets of its prefixes by number of edits, held as bits; it runs along the trie and
+leaves every branch where no state is left. The words around each hit tell quotation and
+report from abuse: their weights are log odds of standing near a term in toxic and in clean
+texts of the sample. Counts so weighted go into a logistic regression fitted on the same
+sample.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +24,20 @@ from pyspark.sql import types as T
 
 from .common import WORD, logistic_fit, sigmoid
 
-#: Words near a term that report or quote it, and that address someone.
-REPORTING = frozenset(
-    "said says say wrote writes called calls quoted quote quotes quoting term word words phrase slur reportedly alleged "
-    "dit mot sagte wort zitat dijo palabra".split()
-)
-ADDRESSING = frozenset("you your yours youre u ur du dich dir dein deine ihr euch tu te toi ton vous votre tú usted eres vosotros".split())
+#: Quotation marks, and letters that signs stand for.
 QUOTES = "\"“”„«»‘’`"
+_MARKS = frozenset(QUOTES)
 LEET = str.maketrans("013457@$!|", "oieastasil")
+#: Words to either side of a term that weigh its hit.
 WINDOW = 4
+#: A context word stands in so many windows at least, and as many give it its prior; the pull of one
+#: word and of a whole window on a hit's weight is at most so strong (natural logarithms).
+CONTEXT_LEAST, WORD_PULL, WINDOW_PULL = 30, 1.0, 1.5
+#: Features end here: distinct terms, weighted hits, distinct misspelt terms, and hits per 50
+#: words. More of them do not make a text more toxic, and the regression stays calibrated.
+MOST = (3.0, 4.0, 3.0, 1.0)
+#: A context's sign that its term stands in quotation marks.
+QUOTED = "«»"
 CACHED = 300_000
 
 
@@ -39,6 +47,8 @@ class ToxicModel:
     stems: tuple[str, ...]
     #: Terms and words of stem families that may be misspelt: few clean texts of the sample hold a word near them.
     fuzzy: tuple[str, ...]
+    #: (word, log odds) of words that stand near terms.
+    context: tuple[tuple[str, float], ...] = ()
     weights: tuple[float, ...] = field(default=())
 
 
@@ -73,23 +83,50 @@ class Trie:
         return next(self.all_within(word, most), None)
 
     def all_within(self, word: str, most: int) -> Iterator[str]:
-        n = len(word)
-        stack = [(self.root, list(range(n + 1)), None, "")]
+        automaton = LevenshteinAutomaton(word, most)
+        stack = [(self.root, automaton.start)]
         while stack:
-            node, row, above, last = stack.pop()
-            if "" in node and row[n] <= most:
+            node, state = stack.pop()
+            if "" in node and automaton.accepts(state):
                 yield node[""]
             for c, child in node.items():
-                if c in ("", "*"):
-                    continue
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    d = min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (word[j - 1] != c))
-                    if above is not None and j > 1 and word[j - 1] == last and word[j - 2] == c:
-                        d = min(d, above[j - 2] + 1)
-                    new.append(d)
-                if min(new) <= most:
-                    stack.append((child, new, row, c))
+                if c not in ("", "*") and (after := automaton.step(state, c)):
+                    stack.append((child, after))
+
+
+class LevenshteinAutomaton:
+    """Accepts what is at most ``most`` edits from the word: one letter more, less or another,
+    or two neighbours swapped.
+
+    A state has, per number of edits, the set of prefixes of the word that can be read by
+    then, bit i for i letters, and the set of those in the middle of a swap.
+    """
+
+    def __init__(self, word: str, most: int):
+        self.most, self.end = most, 1 << len(word)
+        self.all = 2 * self.end - 1
+        self.after: dict[str, int] = {}
+        for i, c in enumerate(word):
+            self.after[c] = self.after.get(c, 0) | 2 << i
+        # letters of the word may be missing before any is read
+        self.start = tuple((sum(1 << i for i in range(e + 1)) & self.all, 0) for e in range(most + 1))
+
+    def step(self, state: tuple, letter: str) -> tuple | None:
+        """The state after one letter, or None where nothing more can be accepted."""
+        hit = self.after.get(letter, 0)
+        out, read_less, was = [], 0, 0
+        for e, (read, swap) in enumerate(state):
+            new = read << 1 & hit
+            if e:
+                # another letter, one letter too many, one letter missing, the end of a swap
+                new |= was << 1 | was | read_less << 1 | state[e - 1][1] & hit << 1
+            new &= self.all
+            out.append((new, read << 2 & hit & self.all))
+            read_less, was = new, read
+        return tuple(out) if any(r or (w and e < self.most) for e, (r, w) in enumerate(out)) else None
+
+    def accepts(self, state: tuple) -> bool:
+        return any(read & self.end for read, _ in state)
 
 
 def without_one(word: str) -> list[str]:
@@ -104,6 +141,7 @@ class Matcher(dict):
         super().__init__()
         self.trie = Trie(model.terms, model.stems)
         self.near = Trie(model.fuzzy)
+        self.context = dict(model.context)
         # a word one edit away, or the word without one letter, is a term or a term without one letter
         self.shorter = {v for t in model.fuzzy for v in without_one(t)}
 
@@ -132,8 +170,24 @@ class Matcher(dict):
         return got
 
 
+def window(words: list[str], i: int) -> set[str]:
+    """The words around place i, and QUOTED where its own word stands in quotation marks."""
+    around = {w for w in map(bare, words[max(0, i - WINDOW) : i] + words[i + 1 : i + WINDOW + 1]) if w}
+    return around | {QUOTED} if quoted(words[i], words[i - 1] if i else "") else around
+
+
+def quoted(token: str, before: str) -> bool:
+    """Whether a quotation mark stands at the token, or alone before it."""
+    return token[0] in _MARKS or token.rstrip(".,;:!?")[-1:] in _MARKS or before in _MARKS
+
+
+def unquoted(text: str) -> list[str]:
+    words = WORD.findall(text)
+    return [w for before, w in zip(["", *words], words, strict=False) if not quoted(w, before)]
+
+
 def features(text: str | None, match: Matcher) -> list[float]:
-    """Distinct exact terms, weighted exact hits, distinct misspelt terms, hits per word."""
+    """Distinct exact terms, hits weighted by their windows, distinct misspelt terms, hits per word."""
     words = WORD.findall(text or "")
     hits = [(i, h) for i, h in enumerate(map(match.__getitem__, words)) if h]
     if not hits:
@@ -141,15 +195,9 @@ def features(text: str | None, match: Matcher) -> list[float]:
     exact, near, mass = set(), set(), 0.0
     for i, (kind, term) in hits:
         (exact if kind == 1 else near).add(term)
-        around = words[max(0, i - WINDOW) : i + WINDOW + 1]
-        weight = 1.0
-        own = words[i]
-        if own[0] in QUOTES or own[-1] in QUOTES or any(bare(w) in REPORTING for w in around):
-            weight *= 0.4
-        if any(bare(w) in ADDRESSING for w in around):
-            weight *= 1.3
-        mass += weight
-    return [min(3.0, len(exact)), min(4.0, mass), min(3.0, len(near)), min(1.0, 50.0 * len(hits) / len(words))]
+        pull = sum(match.context.get(w, 0.0) for w in window(words, i)) if match.context else 0.0
+        mass += math.exp(max(-WINDOW_PULL, min(WINDOW_PULL, pull)))
+    return [min(most, v) for most, v in zip(MOST, (len(exact), mass, len(near), 50.0 * len(hits) / len(words)), strict=True)]
 
 
 def distinct_texts(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -173,14 +221,15 @@ def distinct_texts(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
 
 def learn_lexicon(sample: list[tuple[str, int]], least: int = 5, odds: float = 40.0) -> ToxicModel:
     """Terms are words in at least ``least`` toxic texts whose rate is ``odds`` times that in
-    clean ones; stems are beginnings of at least three words that do so together."""
+    clean ones, what clean texts quote not counted; stems are beginnings of at least three
+    words that do so together. Ties of stems go to the shorter, then to the lesser one."""
     texts = distinct_texts(sample)
     n = Counter(y for _, y in texts)
     df = {0: Counter(), 1: Counter()}
     sf = {0: Counter(), 1: Counter()}
     kinds: dict[str, set] = {}
     for text, y in texts:
-        words = {w for w in map(bare, WORD.findall(text)) if len(w) >= 3}
+        words = {w for w in map(bare, WORD.findall(text) if y else unquoted(text)) if len(w) >= 3}
         df[y].update(words)
         heads = {w[:k] for w in words for k in (4, 5, 6) if len(w) > k}
         sf[y].update(heads)
@@ -207,7 +256,7 @@ def learn_lexicon(sample: list[tuple[str, int]], least: int = 5, odds: float = 4
     blame: dict[str, set[str]] = {}
     for text, y in texts:
         if y == 0:
-            tokens = set(WORD.findall(text))
+            tokens = set(unquoted(text))
             for w in tokens - blame.keys():
                 h = match[w]
                 # every term near the word, or another would take the place of the one left out
@@ -217,8 +266,38 @@ def learn_lexicon(sample: list[tuple[str, int]], least: int = 5, odds: float = 4
     return ToxicModel(draft.terms, draft.stems, fuzzy)
 
 
+def learn_context(sample: list[tuple[str, int]], match: Matcher) -> tuple[tuple[str, float], ...]:
+    """Log odds of the words around terms, in windows of toxic against windows of clean texts.
+
+    Smoothed, so that a word seen alike in both, or seldom, weighs nothing.
+    """
+    seen = {0: Counter(), 1: Counter()}
+    n = Counter()
+    for text, y in distinct_texts(sample):
+        words = WORD.findall(text)
+        for i, h in enumerate(map(match.__getitem__, words)):
+            if h:
+                n[y] += 1
+                seen[y].update(window(words, i))
+    out = []
+    for w in sorted(seen[0].keys() | seen[1].keys()):
+        a, b = seen[1][w], seen[0][w]
+        if a + b >= CONTEXT_LEAST and n[0] >= CONTEXT_LEAST and n[1] >= CONTEXT_LEAST:
+            # both rates lean on the word's rate in all windows
+            rate = (a + b) / (n[0] + n[1])
+            odds = math.log((a + CONTEXT_LEAST * rate) / (n[1] + CONTEXT_LEAST)) - math.log((b + CONTEXT_LEAST * rate) / (n[0] + CONTEXT_LEAST))
+            out.append((w, max(-WORD_PULL, min(WORD_PULL, odds))))
+    return tuple(out)
+
+
 def fit(sample: list[tuple[str, int]]) -> ToxicModel:
+    """Lexicon, context weights and regression, all from the sample of (text, 0 or 1).
+
+    Repeated and near-equal texts count once for the lexicon and the context. Without both
+    labels there are no terms, and every text scores the smoothed base rate.
+    """
     model = learn_lexicon(sample)
+    model = replace(model, context=learn_context(sample, Matcher(model)))
     match = Matcher(model)
     x = np.array([features(t, match) for t, _ in sample]).reshape(len(sample), 4)
     y = np.array([v for _, v in sample], float)
@@ -227,7 +306,7 @@ def fit(sample: list[tuple[str, int]]) -> ToxicModel:
         rows = max(1, len(y) // 200)
         x = np.vstack([x, np.tile([0.0, 1.0, 1.0, 0.2], (rows, 1))])
         y = np.concatenate([y, np.ones(rows)])
-    return ToxicModel(model.terms, model.stems, model.fuzzy, tuple(map(float, logistic_fit(x, y, ridge=0.05))))
+    return replace(model, weights=tuple(map(float, logistic_fit(x, y, ridge=0.05))))
 
 
 def score_text(text: str | None, model: ToxicModel, match: Matcher) -> float:
@@ -237,7 +316,9 @@ def score_text(text: str | None, model: ToxicModel, match: Matcher) -> float:
 
 def score(df: DataFrame, model: ToxicModel, text: str = "text", out: str = "score") -> DataFrame:
     """Adds ``out``: the probability that the text is toxic. Null and empty texts have no hits
-    and get the base score. Narrow, whole texts; the model is bounded by its sample."""
+    and get the base score; equal texts get equal scores. A column named ``out`` is replaced,
+    others stay; an empty table gives an empty one. Narrow, whole texts; the model is bounded
+    by its sample."""
     keep = df.drop(out)
     schema = T.StructType([*keep.schema.fields, T.StructField(out, T.DoubleType())])
 
