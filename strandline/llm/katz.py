@@ -1,11 +1,15 @@
 """Katz backoff bigram model: Good-Turing discounts and exactly normalised backoff weights.
 
-    P(w | v) = d(r) r / c(v)                 r = c(v w) > 0
+    P(w | v) = r* / c(v)                     r = c(v w) > 0
              = alpha(v) P1(w)                r = 0, c(v) > 0
              = P1(w)                         c(v) = 0
-    P1(w)    = d1(c(w)) c(w) / N, and what discounts free goes to one unknown word
+    P1(w)    = c(w)* / N, and what discounts free goes to one unknown word
     alpha(v) = (1 - sum of P(w|v) over w seen after v) / (1 - sum of P1(w) over these w)
 
+Counts up to K keep the Good-Turing share, r* = d(r) r, larger ones are taken as they are;
+but every count gives up LEAST of one, so that each context frees something and its
+probabilities sum to 1 with what it backs off to.
+
 The start of a text is the context that the end of one leaves. All of this is a sum over a
 text's tokens, and the sum is dealt by words: blocks of texts send, to the partition of a
 word, the places where the word stands and its neighbours there. A partition so holds all
@@ -13,8 +17,8 @@ counts of its words and of the pairs filed under them, writes down what they add
 text, and passes on, per context, what alpha needs and where backoff happens. Neither texts
 nor the model are gathered anywhere.
 
-Frequent words would make hot partitions. A fixed number of them (HOT), picked from a sample,
-is counted first, with all pairs among them; these counts have a fixed size and go to all
+Frequent words would make hot partitions. A fixed number of them (HOT), picked from a hashed
+share of all texts, is counted first, with all pairs among them; these counts have a fixed size and go to all
 tasks. Which words are picked changes where work happens, never a result. Pairs of a frequent
 and another word are filed under the other one.
 """
@@ -35,9 +39,13 @@ from pyspark.sql import functions as F
 from .common import WORD, WORD_SPLIT, ascii_lower, checkpointed, release, shuffle_parts
 
 #: Frequent words; discounts apply to counts up to K; tokens of a block of texts, at least.
-HOT, K, BLOCK_TOKENS = 1023, 5, 1_000_000
-#: Texts from which the frequent words are picked.
-PICKED_FROM = 2000
+HOT, K, BLOCK_TOKENS = 1023, 5, 800_000
+#: Every count is discounted by so much at least.
+LEAST = 0.1
+#: One text in so many, by a hash, tells which words are frequent.
+PICKED = 16
+#: Partitions of words to one of a shuffle: what one holds in memory is so much smaller.
+FINER = 3
 EDGE = 0  # the code of a text's start and end; frequent words are 1..HOT
 
 
@@ -66,8 +74,8 @@ def _codes(text: str | None, codes: _Codes) -> np.ndarray:
 
 
 def frequent_words(docs: DataFrame) -> list[str]:
-    """Up to HOT words of up to PICKED_FROM texts; they only steer how work is dealt."""
-    rows = docs.select("text").filter("text is not null").limit(PICKED_FROM)
+    """Up to HOT words, the most frequent of one text in PICKED; they only steer how work is dealt."""
+    rows = docs.filter("text is not null").filter(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(PICKED)) == 0).select("text")
     words = F.explode(F.filter(F.split("text", WORD_SPLIT), lambda w: w != ""))
     top = rows.select(words.alias("w")).groupBy("w").count().orderBy(F.col("count").desc(), "w").limit(2 * HOT)
     seen = Counter()
@@ -282,17 +290,22 @@ def _spread(docs: DataFrame, hot: list[str], pairs: np.ndarray, uni: np.ndarray,
     return docs.select("doc_id", "text", "train").mapInArrow(run, _PACKED)
 
 
+def _kept(r: np.ndarray) -> np.ndarray:
+    """Counts up to K as they are, whose discounts come later; larger ones less LEAST."""
+    return np.where(r > K, r - LEAST, r)
+
+
 def _pair_sums(sums: np.ndarray, doc, times, r, c_right, left, n: int):
     """Adds pairs to their texts' sums; returns (doc, context, times) of those that back off."""
     hit = r > 0
-    sums[:, FIXED] += np.bincount(doc[hit], times[hit] * np.log10(r[hit]), n)
+    sums[:, FIXED] += np.bincount(doc[hit], times[hit] * np.log10(_kept(r[hit])), n)
     for i in range(1, K + 1):
         at = r == i
         if at.any():
             sums[:, SEEN + i - 1] += np.bincount(doc[at], times[at], n)
     miss = ~hit
     d, t, c = doc[miss], times[miss], c_right[miss]
-    sums[:, FIXED] += np.bincount(d, t * np.log10(np.maximum(c, 1)), n)
+    sums[:, FIXED] += np.bincount(d, t * np.log10(_kept(np.maximum(c, 1))), n)
     for i in range(K + 2):
         at = c == i if i <= K else c > K
         if at.any():
@@ -379,40 +392,51 @@ def _owned(uni: np.ndarray, parts: int):
     return run
 
 
+#: Columns of a context, over the words seen after it: its count, how many stand there r = 1..K
+#: times and more often; the count of the words of more than K, how many count 1..K and more.
+PAIR_TYPES, WORD_MASS, WORD_TYPES = 2, 2 + K + 1, 2 + K + 2
+
+
 def _context_rows(left: np.ndarray, r: np.ndarray, c_right: np.ndarray, parts: int) -> list[tuple]:
     ctx, inverse = np.unique(left, return_inverse=True)
-    cols = [np.bincount(inverse, r, len(ctx)).astype(np.int64)]
-    cols += [np.bincount(inverse[r == i], minlength=len(ctx)) for i in range(1, K + 1)]
+    kinds = lambda x: [np.bincount(inverse[np.minimum(x, K + 1) == i], minlength=len(ctx)) for i in range(1, K + 2)]
     big = c_right > K
-    cols.append(np.bincount(inverse[big], c_right[big], len(ctx)).astype(np.int64))
-    cols += [np.bincount(inverse[c_right == i], minlength=len(ctx)) for i in range(1, K + 1)]
+    cols = [np.bincount(inverse, r, len(ctx)).astype(np.int64), *kinds(r)]
+    cols += [np.bincount(inverse[big], c_right[big], len(ctx)).astype(np.int64), *kinds(c_right)]
     return [_row(p, CONTEXT, b"", ctx[s], *[_small(c[s]) for c in cols]) for p, s in _slices((ctx % np.uint64(parts)).astype(np.int64), parts)]
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
-    """Katz's d(r) for r = 0..K from counts of counts n[1..K+1]; 1 where they don't allow one."""
+    """Katz's d(r) for r = 0..K from counts of counts n[1..K+1], 1 - LEAST / r at most; that
+    also where the counts of counts allow none."""
     d = np.ones(K + 1)
+    d[1:] -= LEAST / np.arange(1, K + 1)
     if n[1] > 0:
         tail = (K + 1) * n[K + 1] / n[1]
         for r in range(1, K + 1):
             if n[r] > 0 and tail < 1:
                 turing = (r + 1) * n[r + 1] / (r * n[r])
                 v = (turing - tail) / (1 - tail)
-                if 0 < v <= 1:
-                    d[r] = v
+                if v > 0:
+                    d[r] = min(d[r], v)
     return d
 
 
+def freed(d: np.ndarray, types: list) -> np.ndarray:
+    """What discounts take from counts, of which types[i] are i + 1, the last more than K."""
+    return sum((1 - d[i]) * i * types[i - 1] for i in range(1, K + 1)) + LEAST * types[K]
+
+
 def train_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row.
 
     Learns from rows where ``held_out`` is not true and scores all. Null texts are empty: one
-    token, the end. Repeated ids are rows of their own; an empty table gives an empty one. A
-    context whose pairs free nothing backs off with weight 1e-12 / (1 - mass of what follows).
+    token, the end. Repeated ids are rows of their own; an empty table gives an empty one. No
+    other column of ``docs`` is read but those of ``held_out``.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (~F.coalesce(held_out, F.lit(False))).alias("train"))
-    parts = shuffle_parts(spark)
+    parts = FINER * shuffle_parts(spark)
     hot = frequent_words(docs)
     pairs, uni, total = hot_pairs(docs, hot)
     spread = _spread(docs, hot, pairs, uni, parts)
@@ -430,11 +454,9 @@ def train_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
         pair_n, uni_n = pair_n + a, uni_n + b
         vocabulary += int(b[1:].sum())
     d2, d1 = discounts(pair_n), discounts(uni_n)
-    # what the unigrams' discounts free is the unknown word's; where that is nothing, the
-    # unknown word counts once
-    free = sum((1 - d1[r]) * r * uni_n[r] for r in range(1, K + 1)) / max(1, total)
-    mass = total if free > 0 else total + 1
-    unknown = free if free > 0 else 1.0 / mass
+    # what the unigrams' discounts free is the unknown word's, and all where nothing was seen
+    mass = max(1, total)
+    unknown = freed(d1, [*uni_n[1 : K + 1], uni_n[K + 1] + uni_n[K + 2]]) / mass if total else 1.0
     model = (d1, d2, unknown, mass, total, vocabulary)
 
     own = [r for r in _context_rows(*_hot_contexts(inside, uni), parts)]
@@ -463,11 +485,10 @@ def _back_off(model):
             words, inverse = np.unique(every, return_inverse=True)
             add = lambda f: np.bincount(inverse, np.concatenate([x[f].astype(np.float64) for x in ctx]), len(words))
             count = add(1)
-            freed = sum((1 - d2[i]) * i * add(1 + i) for i in range(1, K + 1)) / count
-            after = (add(2 + K) + sum(d1[i] * i * add(2 + K + i) for i in range(1, K + 1))) / mass
-            # nothing freed: the least that a count could leave, so that no text scores minus infinity
-            alpha = np.maximum(freed, 1e-12) / np.maximum(1 - after, 1e-12)
-            value = np.log10(alpha) + np.log10(count)
+            left = freed(d2, [add(PAIR_TYPES + i) for i in range(K + 1)]) / count
+            words_ = [add(WORD_TYPES + i) for i in range(K + 1)]
+            after = (add(WORD_MASS) + sum(i * words_[i - 1] for i in range(1, K + 1)) - freed(d1, words_)) / mass
+            value = np.log10(left / (1 - after)) + np.log10(count)
         names, of, doc, worth, base = [], [], [], [], 0
         for k, x in zip(kind, data, strict=True):
             if k == BACKOFF:

@@ -30,10 +30,9 @@ def brute(docs, train):
 
     d1, d2 = of(uni), of(big)
     k = katz.K
-    free = sum((1 - d1[min(c, k)]) * c for c in uni.values() if c <= k) / max(1, n)
-    mass = n if free > 0 else n + 1
-    unknown = free if free > 0 else 1 / mass
-    p1 = lambda w: (uni[w] * (d1[uni[w]] if uni[w] <= k else 1) / mass) if uni[w] else unknown
+    star = lambda r, d: r * d[r] if r <= k else r - katz.LEAST
+    unknown = sum(c - star(c, d1) for c in uni.values()) / n if n else 1.0
+    p1 = lambda w: star(uni[w], d1) / n if uni[w] else unknown
     after = {}
     for a, b in big:
         after.setdefault(a, []).append(b)
@@ -41,14 +40,13 @@ def brute(docs, train):
     def p2(w, a):
         r = big[a, w]
         if r:
-            return (d2[r] if r <= k else 1) * r / uni[a]
+            return star(r, d2) / uni[a]
         if not uni[a]:
             return p1(w)
         return alpha(a) * p1(w)
 
     def alpha(a):
-        freed = sum((1 - d2[big[a, b]]) * big[a, b] for b in after[a] if big[a, b] <= k) / uni[a]
-        return max(freed, 1e-12) / max(1 - sum(p1(b) for b in after[a]), 1e-12)
+        return (1 - sum(star(big[a, b], d2) for b in after[a]) / uni[a]) / (1 - sum(p1(b) for b in after[a]))
 
     out = []
     for t in tok:
@@ -56,7 +54,7 @@ def brute(docs, train):
         base = sum(log10((uni[w] + 1) / (n + v + 1)) for w in t)
         out.append((len(t), sum(uni[w] > 0 for w in t), n, base, score))
     words = list(uni) + ["\x00unseen"]
-    sums = [sum(p2(w, a) for w in words) for a in after if alpha(a) > 1e-9]
+    sums = [sum(p2(w, a) for w in words) for a in after]
     return out, sums
 
 
@@ -84,6 +82,18 @@ def test_against_brute_force(spark, monkeypatch, hot):
         assert g[4:] == pytest.approx(w[4:], rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("texts", [["a b"] * 50 + ["a c", "b"], ["a b a b a b"] * 9, ["x"], ["a b c d e f g"], [None, ""], ["word " * 30_000 + "end", "end word"]])
+def test_contexts_of_frequent_pairs_sum_to_one(spark, texts):
+    """Where every pair of a context is frequent, or every count is 1, it frees something too."""
+    got = katz.train_and_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") == len(texts) - 1).collect()
+    want, sums = brute(texts, [i < len(texts) - 1 for i in range(len(texts))])
+    assert all(abs(s - 1) < 1e-9 for s in sums)
+    for r in got:
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]
+        assert (r.base_score, r.score) == pytest.approx(want[r.doc_id][3:], rel=1e-9)
+    assert all(r.score > -12 * r.n_tokens for r in got)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert katz.train_and_score(df, F.lit(False)).count() == 0
