@@ -190,10 +190,11 @@ def decoding(path: str):
     return partial(decode_ids, _decoders[path])
 
 
-def _mapped(df: DataFrame, source: str, targets: tuple[str, ...], function, after=lambda: None) -> DataFrame:
+def _mapped(df: DataFrame, source: str, targets: tuple[str, ...], function, after=lambda: None, without: tuple[str, ...] = ()) -> DataFrame:
     """Adds binary columns ``targets``; function() gives what makes a value's tuple of them."""
     keep = df.drop(*(t for t in targets if t != source))
-    schema = T.StructType([*keep.schema.fields, *(T.StructField(t, T.BinaryType()) for t in targets)])
+    stay = [i for i, f in enumerate(keep.schema.fields) if f.name not in without]
+    schema = T.StructType([*(keep.schema.fields[i] for i in stay), *(T.StructField(t, T.BinaryType()) for t in targets)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = function()
@@ -201,7 +202,7 @@ def _mapped(df: DataFrame, source: str, targets: tuple[str, ...], function, afte
             at = batch.schema.get_field_index(source)
             made = [apply(v.as_py()) for v in batch.column(at)]
             columns = [pa.array([m[i] for m in made], pa.binary()) for i in range(len(targets))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([*(batch.columns[i] for i in stay), *columns], names=[f.name for f in schema.fields])
         after()
 
     return keep.mapInArrow(run, schema)
@@ -222,8 +223,11 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: st
     return _mapped(df, ids, (decoded,), lambda: _each(decoding(path)))
 
 
-def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``encode``, then ``decode`` of its ids, by one worker a task where the two apart take two."""
+def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", without: tuple[str, ...] = ()) -> DataFrame:
+    """``encode``, then ``decode`` of its ids, by one worker a task where the two apart take two.
+
+    Columns named in ``without`` (the text, say) are read but do not come back.
+    """
 
     def both():
         own = codec(path, pattern)
@@ -234,7 +238,7 @@ def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", id
 
         return apply
 
-    return _mapped(df, text, (ids, decoded), both, lambda: codec(path, pattern).forget())
+    return _mapped(df, text, (ids, decoded), both, lambda: codec(path, pattern).forget(), without)
 
 
 def _each(function):

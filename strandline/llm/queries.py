@@ -24,7 +24,7 @@ def vocabulary() -> tuple[str, str]:
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, path, pattern).drop("text"), path, pattern)
+    coded = bpe.encode_decode(docs, path, pattern, without=("text",))
     return coded.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
