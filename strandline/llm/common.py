@@ -7,6 +7,7 @@ import re
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,16 @@ def ascii_lower(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_LOWER_TABLE)
 
 
+def lower_words(text: pa.Scalar) -> list[bytes]:
+    """The contracts' words of an Arrow string, A-Z in lower case, as UTF-8; none for null.
+
+    Of bytes, split() takes the ASCII white space for gaps and lower() only A-Z: just what the
+    pattern and `ascii_lower` do, several times as fast.
+    """
+    raw = text.as_buffer()
+    return raw.to_pybytes().lower().split() if raw is not None else []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WORD_SPLIT, ascii_lower, checkpointed, release, shuffle_parts
+from .common import WORD_SPLIT, ascii_lower, checkpointed, lower_words, release, shuffle_parts
 
 #: Frequent words; discounts apply to counts up to K; tokens of a block of texts, at least.
 HOT, K, BLOCK_TOKENS = 1023, 5, 800_000
@@ -44,8 +44,6 @@ HOT, K, BLOCK_TOKENS = 1023, 5, 800_000
 LEAST = 0.1
 #: One text in so many, by a hash, tells which words are frequent.
 PICKED = 16
-#: Partitions of words to one of a shuffle: what one holds in memory is so much smaller.
-FINER = 3
 EDGE = 0  # the code of a text's start and end; frequent words are 1..HOT
 
 
@@ -54,9 +52,9 @@ class _Codes(dict):
 
     def __init__(self, hot: list[str]):
         super().__init__()
-        self.hot = {w: i + 1 for i, w in enumerate(hot)}
+        self.hot = {w.encode(): i + 1 for i, w in enumerate(hot)}
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) > 400_000:
@@ -65,9 +63,9 @@ class _Codes(dict):
         return got
 
 
-def _codes(text: str | None, codes: _Codes) -> np.ndarray:
+def _codes(text: pa.Scalar, codes: _Codes) -> np.ndarray:
     """A text's words between two edges."""
-    words = WORD.findall(ascii_lower(text)) if text else ()
+    words = lower_words(text)
     out = np.zeros(len(words) + 2, np.uint64)
     out[1:-1] = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
     return out
@@ -94,11 +92,18 @@ def hot_pairs(docs: DataFrame, hot: list[str]) -> tuple[np.ndarray, np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes(hot)
         total = np.zeros(size * size, np.int64)
+        held, tokens = [], 0
         for b in batches:
             for v, train in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 if train:
-                    c = np.minimum(_codes(v.as_py(), codes), np.uint64(HOT + 1)).astype(np.int64)
-                    np.add.at(total, c[:-1] * size + c[1:], 1)
+                    c = np.minimum(_codes(v, codes), np.uint64(HOT + 1)).astype(np.int64)
+                    held.append(c[:-1] * size + c[1:])
+                    tokens += len(c)
+                    if tokens >= BLOCK_TOKENS:
+                        total += np.bincount(np.concatenate(held), minlength=size * size)
+                        held, tokens = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=size * size)
         at = np.flatnonzero(total)
         # packed by ranges of rows, so that partial sums of a range meet in one task each
         for part in range(16):
@@ -277,7 +282,7 @@ def _spread(docs: DataFrame, hot: list[str], pairs: np.ndarray, uni: np.ndarray,
 
         for b in batches:
             for i, v, t in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                c = _codes(v.as_py(), codes)
+                c = _codes(v, codes)
                 ids.append(i)
                 train.append(t)
                 texts.append(c)
@@ -436,7 +441,7 @@ def train_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (~F.coalesce(held_out, F.lit(False))).alias("train"))
-    parts = FINER * shuffle_parts(spark)
+    parts = shuffle_parts(spark)
     hot = frequent_words(docs)
     pairs, uni, total = hot_pairs(docs, hot)
     spread = _spread(docs, hot, pairs, uni, parts)

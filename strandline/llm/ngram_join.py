@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, checkpointed, shuffle_parts, spread_join
+from .common import checkpointed, lower_words, shuffle_parts, spread_join
 from .components import connected
 
 #: n-grams of a block, at most about so many; bits of the filter of class ids (512 KB).
@@ -37,7 +37,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class _Hashes(dict):
     """word -> 64-bit hash, kept for up to 400,000 words."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) > 400_000:
@@ -53,9 +53,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h * _MIX
 
 
-def gram_set(text: str | None, size: int, hashes: _Hashes) -> np.ndarray:
+def gram_set(text: pa.Scalar, size: int, hashes: _Hashes) -> np.ndarray:
     """Sorted distinct hashes of word n-grams; a shorter text is one n-gram, no word none."""
-    words = WORD.findall(ascii_lower(text)) if text else ()
+    words = lower_words(text)
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
@@ -118,7 +118,7 @@ def _sets(df: DataFrame, size: int, emit, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
-            yield from emit(b.column(0), [gram_set(v.as_py(), size, hashes) for v in b.column(1)])
+            yield from emit(b.column(0), [gram_set(v, size, hashes) for v in b.column(1)])
 
     return df.select("doc_id", "text").mapInArrow(run, schema)
 
