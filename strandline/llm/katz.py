@@ -445,7 +445,8 @@ def train_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
     hot = frequent_words(docs)
     pairs, uni, total = hot_pairs(docs, hot)
     spread = _spread(docs, hot, pairs, uni, parts)
-    filed = checkpointed(spread.groupBy("part").applyInArrow(_owned(uni, parts), _PACKED))
+    # one part a partition: hashed together, several might meet in one task
+    filed = checkpointed(spread.repartitionById(parts, "part").groupBy("part").applyInArrow(_owned(uni, parts), _PACKED))
     del spread
     release(spark)
 
@@ -467,7 +468,7 @@ def train_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
     own = [r for r in _context_rows(*_hot_contexts(inside, uni), parts)]
     hot_rows = spark.createDataFrame([(int(p), int(k), bytearray(b), bytearray(x)) for p, k, b, x in own] or [], _PACKED)
     contexts = filed.filter(F.col("kind").isin(CONTEXT, BACKOFF) & (F.col("part") >= 0)).union(hot_rows)
-    backed = contexts.groupBy("part").applyInArrow(_back_off(model), _PACKED)
+    backed = contexts.repartitionById(parts, "part").groupBy("part").applyInArrow(_back_off(model), _PACKED)
     final = filed.filter(F.col("kind").isin(LOCAL, SUMS)).union(backed)
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return final.groupBy("block").applyInArrow(_totals(model), schema)
