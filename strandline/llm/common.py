@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
+import struct
 import tempfile
 
 import numpy as np
@@ -87,6 +88,43 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays in few bytes; `unpacked` gives them back."""
+    import zstandard
+
+    head = struct.pack("<H", len(arrays))
+    body = b""
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        code = a.dtype.str.encode().ljust(4)
+        # bytes of equal weight stand together: sorted or small numbers shrink well
+        raw = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b""
+        body += struct.pack("<4sI", code, len(a)) + raw
+    return zstandard.compress(head + body, 1)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.decompress(data)
+    (count,) = struct.unpack_from("<H", raw)
+    at, out = 2, []
+    for _ in range(count):
+        code, n = struct.unpack_from("<4sI", raw, at)
+        at += 8
+        kind = np.dtype(code.strip().decode())
+        size = n * kind.itemsize
+        out.append(np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n).T.copy().view(kind).reshape(n) if n else np.empty(0, kind))
+        at += size
+    return out
+
+
+def small(a: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in the narrowest type that holds them."""
+    top = int(a.max(initial=0))
+    return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
     """Newton steps for ridge logistic regression; the last weight is the intercept.
 

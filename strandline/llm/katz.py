@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPLIT, ascii_lower, checkpointed, lower_words, release, shuffle_parts
+from .common import WORD_SPLIT, ascii_lower, checkpointed, lower_words, packed, release, shuffle_parts, small, unpacked
 
 #: Frequent words; discounts apply to counts up to K; tokens of a block of texts, at least.
 HOT, K, BLOCK_TOKENS = 1023, 5, 800_000
@@ -109,20 +109,20 @@ def hot_pairs(docs: DataFrame, hot: list[str]) -> tuple[np.ndarray, np.ndarray,
         for part in range(16):
             mine = at[(at // size) % 16 == part]
             if len(mine):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_pack(_small(mine), _small(total[mine]))], pa.binary())], names=["part", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed(small(mine), small(total[mine]))], pa.binary())], names=["part", "data"])
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(size * size, np.int64)
         for data in t.column("data").to_pylist():
-            at, n = _unpack(data)
+            at, n = unpacked(data)
             total[at.astype(np.int64)] += n.astype(np.int64)
         at = np.flatnonzero(total)
-        return pa.table({"data": pa.array([_pack(_small(at), _small(total[at]))], pa.binary())})
+        return pa.table({"data": pa.array([packed(small(at), small(total[at]))], pa.binary())})
 
     counted = docs.select("text", "train").mapInArrow(run, "part int, data binary")
     pairs = np.zeros(size * size, np.int64)
     for (data,) in counted.groupBy("part").applyInArrow(add, "data binary").collect():
-        at, n = _unpack(data)
+        at, n = unpacked(data)
         pairs[at.astype(np.int64)] += n.astype(np.int64)
     pairs = pairs.reshape(size, size)
     return pairs, pairs.sum(axis=0), int(pairs.sum())
@@ -133,41 +133,6 @@ def hot_pairs(docs: DataFrame, hot: list[str]) -> tuple[np.ndarray, np.ndarray,
 _PACKED = "part int, kind int, block binary, data binary"
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    import zstandard
-
-    head = struct.pack("<H", len(arrays))
-    body = b""
-    for a in arrays:
-        a = np.ascontiguousarray(a)
-        code = a.dtype.str.encode().ljust(4)
-        # bytes of equal weight stand together: sorted or small numbers shrink well
-        raw = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b""
-        body += struct.pack("<4sI", code, len(a)) + raw
-    return zstandard.compress(head + body, 1)
-
-
-def _unpack(data: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.decompress(data)
-    (count,) = struct.unpack_from("<H", raw)
-    at, out = 2, []
-    for _ in range(count):
-        code, n = struct.unpack_from("<4sI", raw, at)
-        at += 8
-        kind = np.dtype(code.strip().decode())
-        size = n * kind.itemsize
-        out.append(np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n).T.copy().view(kind).reshape(n) if n else np.empty(0, kind))
-        at += size
-    return out
-
-
-def _small(a: np.ndarray) -> np.ndarray:
-    top = int(a.max(initial=0))
-    return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
-
-
 #: Sums of logarithms travel as whole multiples of 1 / POINT, which shortens them by a third.
 POINT = float(1 << 32)
 
@@ -177,7 +142,7 @@ def _fixed(a: np.ndarray) -> np.ndarray:
 
 
 def _row(part: int, kind: int, block: bytes, *arrays: np.ndarray) -> tuple:
-    return part, kind, block, _pack(*arrays)
+    return part, kind, block, packed(*arrays)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -237,10 +202,10 @@ def _spread(docs: DataFrame, hot: list[str], pairs: np.ndarray, uni: np.ndarray,
             both = lh & rh
             d, a, b = doc[both], left[both].astype(np.int64), right[both].astype(np.int64)
             backoff = _pair_sums(sums, d, np.ones(len(d)), seen[a * (HOT + 1) + b], hot_uni[b], a.astype(np.uint64), n)
-            rows = [_row(spread_to, LOCAL, block, np.array([x if x is not None else 0 for x in ids], np.int64), np.array([x is not None for x in ids], np.uint8), _small(size - 1), trained.astype(np.uint8), *[sums[:, f] for f in range(3)], *[_small(sums[:, f].astype(np.int64)) for f in range(3, _FIELDS)])]
+            rows = [_row(spread_to, LOCAL, block, np.array([x if x is not None else 0 for x in ids], np.int64), np.array([x is not None for x in ids], np.uint8), small(size - 1), trained.astype(np.uint8), *[sums[:, f] for f in range(3)], *[small(sums[:, f].astype(np.int64)) for f in range(3, _FIELDS)])]
             if len(backoff[0]):
                 for p, at in _slices((backoff[1] % np.uint64(parts)).astype(np.int64), parts):
-                    rows.append(_row(p, BACKOFF, b"", np.frombuffer(block, np.uint64), _small(np.zeros(len(at), np.int64)), _small(backoff[0][at]), backoff[1][at], _small(backoff[2][at])))
+                    rows.append(_row(p, BACKOFF, b"", np.frombuffer(block, np.uint64), small(np.zeros(len(at), np.int64)), small(backoff[0][at]), backoff[1][at], small(backoff[2][at])))
             # each rare word with its places: as predicted token, as context, and in pairs
             rest = ~both
             d, a, b = doc[rest], left[rest], right[rest]
@@ -274,8 +239,8 @@ def _spread(docs: DataFrame, hot: list[str], pairs: np.ndarray, uni: np.ndarray,
                 # words are sorted, so that places rise; differences are small
                 wk = np.searchsorted(w, pk[at]) if len(at) else none
                 rows.append(_row(
-                    p, POSTINGS, block, words[w], _small(local[is_hot]), local[~is_hot], _small(np.diff(wk, prepend=0)), pr[at].astype(np.uint8),
-                    _small(mine), _small(pd[at]), _small(times[at]), _small(np.searchsorted(w, ck[cat])), _small(cd[cat]), _small(ctx_n[cat]), trained.astype(np.uint8),
+                    p, POSTINGS, block, words[w], small(local[is_hot]), local[~is_hot], small(np.diff(wk, prepend=0)), pr[at].astype(np.uint8),
+                    small(mine), small(pd[at]), small(times[at]), small(np.searchsorted(w, ck[cat])), small(cd[cat]), small(ctx_n[cat]), trained.astype(np.uint8),
                 ))
             ids, train, texts, tokens = [], [], [], 0
             return _batch(rows)
@@ -331,10 +296,10 @@ def _owned(uni: np.ndarray, parts: int):
             return pa.Table.from_batches([_batch(rows)])
         parsed = []
         for i in mine:
-            words, hot, rare, wk, pr, o, pd, times, ck, cd, cn, trained = _unpack(data[i])
+            words, hot, rare, wk, pr, o, pd, times, ck, cd, cn, trained = unpacked(data[i])
             others = np.concatenate([hot.astype(np.uint64), rare])
-            small = [a.astype(np.int32) for a in (o, pd, times, ck, cd, cn)]
-            parsed.append([words, others, np.cumsum(wk, dtype=np.int32), pr.astype(bool), *small, trained.astype(bool)])
+            narrow = [a.astype(np.int32) for a in (o, pd, times, ck, cd, cn)]
+            parsed.append([words, others, np.cumsum(wk, dtype=np.int32), pr.astype(bool), *narrow, trained.astype(bool)])
         words = np.unique(np.concatenate([x[0] for x in parsed]))
         others = np.unique(np.concatenate([x[1] for x in parsed]))
         count = np.zeros(len(words), np.int64)
@@ -372,7 +337,7 @@ def _owned(uni: np.ndarray, parts: int):
             d, ctx, times = _pair_sums(sums, x[5], x[6], pr_r, c_right, left, n)
             some = np.flatnonzero(np.abs(sums).sum(axis=1) > 0)
             part = sums[some]
-            rows.append(_row(-1, SUMS, block[i], _small(some), _fixed(part[:, BASE]), _small(part[:, KNOWN].astype(np.int64)), _fixed(part[:, FIXED]), *[_small(part[:, f].astype(np.int64)) for f in range(3, _FIELDS)]))
+            rows.append(_row(-1, SUMS, block[i], small(some), _fixed(part[:, BASE]), small(part[:, KNOWN].astype(np.int64)), _fixed(part[:, FIXED]), *[small(part[:, f].astype(np.int64)) for f in range(3, _FIELDS)]))
             if len(d):
                 backoff.append((np.frombuffer(block[i], np.uint64), d, ctx, times))
         # backoff of all blocks goes to its contexts' partitions together
@@ -382,7 +347,7 @@ def _owned(uni: np.ndarray, parts: int):
             d, ctx, times = (np.concatenate([x[f] for x in backoff]) for f in (1, 2, 3))
             for p, s in _slices((ctx % np.uint64(parts)).astype(np.int64), parts):
                 some, local = np.unique(of[s], return_inverse=True)
-                rows.append(_row(p, BACKOFF, b"", names.reshape(-1, 2)[some].ravel(), _small(local), _small(d[s]), ctx[s], _small(times[s])))
+                rows.append(_row(p, BACKOFF, b"", names.reshape(-1, 2)[some].ravel(), small(local), small(d[s]), ctx[s], small(times[s])))
         # per context: its count, its discounted pairs, and the unigram mass of what follows
         seen = r > 0
         code, r = code[seen], r[seen]
@@ -391,7 +356,7 @@ def _owned(uni: np.ndarray, parts: int):
         left = np.where(right, others[o], words[w])
         c_right = np.where(right, count[w], hot_uni[np.where(right, 0, others[o]).astype(np.int64)]) if len(o) else r
         rows += _context_rows(left, r, c_right, parts)
-        rows.append((-3, CONTEXT, b"", _pack(np.bincount(np.minimum(r, K + 2), minlength=K + 3), np.bincount(np.minimum(count, K + 2), minlength=K + 3))))
+        rows.append((-3, CONTEXT, b"", packed(np.bincount(np.minimum(r, K + 2), minlength=K + 3), np.bincount(np.minimum(count, K + 2), minlength=K + 3))))
         return pa.Table.from_batches([_batch(rows)])
 
     return run
@@ -408,7 +373,7 @@ def _context_rows(left: np.ndarray, r: np.ndarray, c_right: np.ndarray, parts: i
     big = c_right > K
     cols = [np.bincount(inverse, r, len(ctx)).astype(np.int64), *kinds(r)]
     cols += [np.bincount(inverse[big], c_right[big], len(ctx)).astype(np.int64), *kinds(c_right)]
-    return [_row(p, CONTEXT, b"", ctx[s], *[_small(c[s]) for c in cols]) for p, s in _slices((ctx % np.uint64(parts)).astype(np.int64), parts)]
+    return [_row(p, CONTEXT, b"", ctx[s], *[small(c[s]) for c in cols]) for p, s in _slices((ctx % np.uint64(parts)).astype(np.int64), parts)]
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -456,7 +421,7 @@ def train_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
     uni_n = np.bincount(np.minimum(uni[: HOT + 1], K + 2), minlength=K + 3)
     vocabulary = int((uni[: HOT + 1] > 0).sum())
     for (data,) in filed.filter("part = -3").select("data").toLocalIterator():
-        a, b = _unpack(data)
+        a, b = unpacked(data)
         pair_n, uni_n = pair_n + a, uni_n + b
         vocabulary += int(b[1:].sum())
     d2, d1 = discounts(pair_n), discounts(uni_n)
@@ -484,7 +449,7 @@ def _back_off(model):
 
     def run(t: pa.Table) -> pa.Table:
         kind, block, data = (t.column(c).to_pylist() for c in ("kind", "block", "data"))
-        ctx = [_unpack(x) for k, x in zip(kind, data, strict=True) if k == CONTEXT]
+        ctx = [unpacked(x) for k, x in zip(kind, data, strict=True) if k == CONTEXT]
         words, value = np.empty(0, np.uint64), np.empty(0)
         if ctx:
             every = np.concatenate([x[0] for x in ctx])
@@ -498,7 +463,7 @@ def _back_off(model):
         names, of, doc, worth, base = [], [], [], [], 0
         for k, x in zip(kind, data, strict=True):
             if k == BACKOFF:
-                name, local, d, c, n = _unpack(x)
+                name, local, d, c, n = unpacked(x)
                 if len(words):
                     at = np.minimum(np.searchsorted(words, c), len(words) - 1)
                     v = np.where(words[at] == c, value[at], 0.0)
@@ -519,7 +484,7 @@ def _back_off(model):
             cut = np.searchsorted(key, np.arange(len(blocks) + 1) * span)
             for i, b in enumerate(blocks):
                 s = slice(cut[i], cut[i + 1])
-                rows.append(_row(-1, BACKOFF, b.tobytes(), _small(key[s] - i * span), total_[s]))
+                rows.append(_row(-1, BACKOFF, b.tobytes(), small(key[s] - i * span), total_[s]))
         return pa.Table.from_batches([_batch(rows)] if rows else [], pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.binary()), ("data", pa.binary())]))
 
     return run
@@ -532,20 +497,20 @@ def _totals(model):
 
     def run(t: pa.Table) -> pa.Table:
         kind, data = t.column("kind").to_pylist(), t.column("data").to_pylist()
-        local = next(_unpack(x) for k, x in zip(kind, data, strict=True) if k == LOCAL)
+        local = next(unpacked(x) for k, x in zip(kind, data, strict=True) if k == LOCAL)
         ids, known_id, tokens, train = local[:4]
         n = len(ids)
         sums = np.stack([c.astype(np.float64) for c in local[4:]], axis=1)
         extra = np.zeros(n)
         for k, x in zip(kind, data, strict=True):
             if k == SUMS:
-                some, *cols = _unpack(x)
+                some, *cols = unpacked(x)
                 cols = [c.astype(np.float64) for c in cols]
                 cols[BASE] /= POINT
                 cols[FIXED] /= POINT
                 sums[some.astype(np.int64)] += np.stack(cols, axis=1)
             elif k == BACKOFF:
-                d, v = _unpack(x)
+                d, v = unpacked(x)
                 extra[d.astype(np.int64)] += v
         tokens = tokens.astype(np.int64)
         score = sums[:, FIXED] + sums[:, SEEN : SEEN + K] @ log_d2 + sums[:, UNI : UNI + K + 2] @ log_uni + extra

@@ -6,16 +6,16 @@ The global order of n-grams is that of their 64-bit hashes. It is cut into fragm
   can differ in; by the pigeonhole principle they hold at least one equal fragment. A
   fragment's hash is a signature. Sets that share one, directly or through others, make a
   family; no link leaves a family, and unrelated texts share none.
-* To verify, each family is dealt in blocks. For two blocks, overlaps are counted fragment
-  by fragment of the order and summed per pair; pairs stay inside the task, which returns
-  links that span what is linked, and each set's number of links.
+* To verify, the order is cut into FRAGMENTS ranges, and each family into blocks of sets. A
+  fragment of two blocks is one key of an exchange: its task counts the partial overlaps of
+  the pairs. The partial counts of all fragments are then summed per pair; sums stay inside
+  the task, which returns links that span what is linked, and each set's number of links.
 
 Equal sets are one class from the start, so exact copies never pair.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from math import ceil, log
 
@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_words, shuffle_parts, spread_join
+from .common import checkpointed, lower_words, packed, shuffle_parts, small, spread_join, unpacked
 from .components import connected
 
-#: n-grams of a block, at most about so many; bits of the filter of class ids (512 KB).
-BLOCK_GRAMS, BLOCK_SETS, FILTER_BITS = 400_000, 512, 22
+#: n-grams and sets of a block, at most about so many; ranges of the order that are counted apart.
+BLOCK_GRAMS, BLOCK_SETS, FRAGMENTS = 400_000, 512, 4
 #: n-grams of the sets that ask for frequencies together, at most about so many.
-BATCH_GRAMS = 2_000_000
+BATCH_GRAMS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -160,8 +160,7 @@ def families(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
 
     read = checkpointed(_sets(docs, size, emit, "doc_id bigint, n_shingles bigint, fp bigint, part int, a binary, b binary"))
     named = checkpointed(read.filter("part is null").select("doc_id", "n_shingles", "fp"))
-    dealt = read.filter("part is not null").select("part", "a", "b")
-    return named, connected(dealt.groupBy("part").applyInArrow(_stars, "a bigint, b bigint"))
+    return named, connected(_met(read.filter("part is not null").select("part", "a", "b"), parts))
 
 
 def _dealt(sig: np.ndarray, fp: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -181,16 +180,25 @@ def _dealt(sig: np.ndarray, fp: np.ndarray, parts: int) -> pa.RecordBatch:
     return _packed(rows)
 
 
+def _met(dealt: DataFrame, parts: int) -> DataFrame:
+    """Edges of the sets that share a signature, one partition of signatures a task."""
+    dealt = dealt.withColumn("bin", F.when(F.col("part") < 0, -1 - F.col("part")).otherwise(F.col("part")))
+    return dealt.repartitionById(parts, "bin").groupBy("bin").applyInArrow(_stars, "a bigint, b bigint")
+
+
 def _stars(t: pa.Table) -> pa.Table:
-    a = np.concatenate([np.frombuffer(v, np.uint64) for v in t.column("a").to_pylist()])
-    b = np.concatenate([np.frombuffer(v, np.int64) for v in t.column("b").to_pylist()])
-    if t.column("part")[0].as_py() < 0:
-        x, y = a.view(np.int64), b
-    else:
+    """Within batches edges stand as they are; across them a signature's sets link to its least one."""
+    known, met = [], []
+    for part, a, b in zip(*(t.column(c).to_pylist() for c in ("part", "a", "b")), strict=True):
+        (known if part < 0 else met).append((a, b))
+    joined = lambda rows, at, kind: np.concatenate([np.frombuffer(r[at], kind) for r in rows] or [np.empty(0, kind)])
+    x, y = joined(known, 0, np.int64), joined(known, 1, np.int64)
+    if met:
+        a, b = joined(met, 0, np.uint64), joined(met, 1, np.int64)
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         first = np.concatenate([[True], a[1:] != a[:-1]])
-        x, y = b, b[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        x, y = np.concatenate([x, b]), np.concatenate([y, b[np.flatnonzero(first)[np.cumsum(first) - 1]]])
     x, y = (np.frombuffer(v, np.int64) for v in _edges(x, y))
     return pa.table({"a": x, "b": y})
 
@@ -203,15 +211,28 @@ def rare_families(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataF
     is by the logarithm of an n-gram's frequency, then by 40 bits of its hash: passages that
     many texts share come last. N-grams that occur once signify nothing.
 
-    A batch of sets asks each partition of the order for the classes of its n-grams, counted
-    within the batch beforehand, so that a frequent n-gram is one entry per batch. The sets meet
-    the answers by batch. They are derived twice from ``docs``; should that come out different,
-    the batch has no answers and the job fails.
+    A batch of sets sends its n-grams to the partitions of the order, which count them and send
+    back those that occur elsewhere, with their class, and the number of the others. Sets are
+    named and batches are filled in two passes, whose orders need not agree; a batch that comes
+    back incomplete, as a part of it was made anew otherwise, fails the job.
     """
     parts = 2 * shuffle_parts(docs.sparkSession)
-    schema = "batch bigint, part int, fps binary, lens binary, grams binary, bits binary"
+    schema = "batch bigint, part int, data binary"
+
+    def rows_of(rows) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["batch", "part", "data"])
 
-    def batches_of(sets):
+    def batch(done: dict[int, np.ndarray]) -> pa.RecordBatch:
+        fps, lens, grams = np.array(list(done), np.int64), np.array([len(g) for g in done.values()]), np.concatenate(list(done.values()))
+        name = fingerprint(fps)
+        owner = np.repeat(np.arange(len(fps)), lens)
+        part = (grams % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((grams, part))
+        grams, owner, cut = grams[order], owner[order], np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(name, p, packed(small(owner[cut[p] : cut[p + 1]]), grams[cut[p] : cut[p + 1]])) for p in range(parts) if cut[p + 1] > cut[p]]
+        return rows_of([(name, -1 - name % parts, packed(fps, small(lens))), *rows])
+
+    def ask(_, sets):
         done: dict[int, np.ndarray] = {}
         held = 0
         for g in sets:
@@ -219,68 +240,58 @@ def rare_families(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataF
                 done[fp] = g >> np.uint64(24)
                 held += len(g)
                 if held >= BATCH_GRAMS:
-                    yield done
+                    yield batch(done)
                     done, held = {}, 0
         if done:
-            yield done
-
-    def order_of(grams):
-        """Distinct n-grams by partition, their places among all, and the partitions' bounds."""
-        uniq, at, count = np.unique(grams, return_inverse=True, return_counts=True)
-        part = (uniq % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        return uniq, at, count, order, np.searchsorted(part[order], np.arange(parts + 1))
-
-    def packed(rows):
-        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
-        names = [c.split()[0] for c in schema.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    def ask(_, sets):
-        for done in batches_of(sets):
-            uniq, _at, count, order, cut = order_of(np.concatenate(list(done.values())))
-            short, few = (uniq // np.uint64(parts)).astype(np.uint32)[order], np.minimum(count, 1 << 30).astype(np.uint32)[order]
-            name = fingerprint(np.array(list(done), np.int64))
-            yield packed([(name, p, None, None, short[cut[p] : cut[p + 1]].tobytes(), few[cut[p] : cut[p + 1]].tobytes()) for p in range(parts) if cut[p + 1] > cut[p]])
-
-    def hold(_, sets):
-        for done in batches_of(sets):
-            fps, lens, grams = np.array(list(done), np.int64), np.array([len(g) for g in done.values()], np.uint32), np.concatenate(list(done.values()))
-            yield packed([(fingerprint(fps), -1, fps.tobytes(), lens.tobytes(), (grams >> np.uint64(8)).astype(np.uint32).tobytes(), grams.astype(np.uint8).tobytes())])
+            yield batch(done)
 
     def answer(t: pa.Table) -> pa.Table:
-        grams, counts = (np.concatenate([np.frombuffer(v, np.uint32) for v in t.column(c).to_pylist()]) for c in ("grams", "bits"))
-        _, at = np.unique(grams, return_inverse=True)
-        kind = np.log2(np.bincount(at, weights=counts)).astype(np.uint8)[at]
-        ends = np.cumsum([len(v) // 4 for v in t.column("grams").to_pylist()])
-        none = pa.nulls(len(t), pa.binary())
-        bits = pa.array([x.tobytes() for x in np.split(kind, ends[:-1])], pa.binary())
-        return pa.table({"batch": t.column("batch"), "part": t.column("part"), "fps": none, "lens": none, "grams": none, "bits": bits})
+        rows, asked = [], []
+        for name, part, data in zip(*(t.column(c).to_pylist() for c in ("batch", "part", "data")), strict=True):
+            if part < 0:
+                rows.append((name, part, data))
+            else:
+                asked.append((name, part, *unpacked(data)))
+        if asked:
+            _, at, count = np.unique(np.concatenate([x[3] for x in asked]), return_inverse=True, return_counts=True)
+            kind = np.log2(count).astype(np.uint8)[at]
+            ends = np.cumsum([len(x[3]) for x in asked])
+            for (name, part, owner, grams), k in zip(asked, np.split(kind, ends[:-1]), strict=True):
+                alone, times = np.unique(owner[k == 0], return_counts=True)
+                rows.append((name, part, packed(alone, small(times), owner[k > 0], grams[k > 0], k[k > 0])))
+        return pa.Table.from_batches([rows_of(rows)])
 
     def prefixes(t: pa.Table) -> pa.Table:
-        rows = {r["part"]: r for r in t.to_pylist()}
-        if -1 not in rows or len(rows) < 2:
-            raise RuntimeError("the documents came in another order when read again")
-        held = rows[-1]
-        fps, lens = np.frombuffer(held["fps"], np.int64), np.frombuffer(held["lens"], np.uint32).astype(np.int64)
-        grams = (np.frombuffer(held["grams"], np.uint32).astype(np.uint64) << np.uint64(8)) | np.frombuffer(held["bits"], np.uint8)
-        uniq, at, _count, order, cut = order_of(grams)
-        kind = np.zeros(len(uniq), np.uint8)
-        for p in np.flatnonzero(np.diff(cut)):
-            kind[order[cut[p] : cut[p + 1]]] = np.frombuffer(rows[int(p)]["bits"], np.uint8)
-        kind = kind[at]
-        owner = np.repeat(np.arange(len(fps)), lens)
-        by_order = np.lexsort((grams, kind, owner))
-        rank = np.arange(len(grams)) - np.repeat(np.cumsum(lens) - lens, lens)
-        first = by_order[rank < np.repeat(lens + (-num * lens) // den + 1, lens)]
-        first = first[kind[first] > 0]
+        names, owners, grams, kinds = None, [], [], []
+        singles: list[tuple[np.ndarray, np.ndarray]] = []
+        for part, data in zip(t.column("part").to_pylist(), t.column("data").to_pylist(), strict=True):
+            if part < 0:
+                names = unpacked(data)
+            else:
+                alone, times, o, g, k = unpacked(data)
+                singles.append((alone, times))
+                owners.append(o.astype(np.int64))
+                grams.append(g)
+                kinds.append(k)
+        fps, lens = (names[0], names[1].astype(np.int64)) if names else (np.empty(0, np.int64), np.empty(0, np.int64))
+        owner, grams, kinds = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (owners, grams, kinds))
+        alone = np.zeros(len(fps), np.int64)
+        for o, n in singles:
+            alone[o] += n
+        seen = np.bincount(owner, minlength=len(fps)).astype(np.int64)
+        if len(seen) != len(lens) or (seen + alone != lens).any():
+            raise RuntimeError("a batch of sets came back incomplete; the documents must read alike each time")
+        by_order = np.lexsort((grams, kinds, owner))
+        rank = np.arange(len(grams)) - np.repeat(np.cumsum(seen) - seen, seen)
+        first = by_order[rank < np.repeat(lens + (-num * lens) // den + 1 - alone, seen)]
         if not len(first):
             return pa.Table.from_batches([_packed([])])
         return pa.Table.from_batches([_dealt(grams[first], fps[owner[first]], parts)])
 
-    asked = _sets(docs, size, ask, schema).groupBy("part").applyInArrow(answer, schema)
-    met = asked.unionByName(_sets(docs, size, hold, schema)).groupBy("batch").applyInArrow(prefixes, "part int, a binary, b binary")
-    return named_sets(docs, size), connected(met.groupBy("part").applyInArrow(_stars, "a bigint, b bigint"))
+    asked = _sets(docs, size, ask, schema).withColumn("bin", F.when(F.col("part") < 0, -1 - F.col("part")).otherwise(F.col("part")))
+    answers = asked.repartitionById(parts, "bin").groupBy("bin").applyInArrow(answer, schema)
+    met = answers.groupBy("batch").applyInArrow(prefixes, "part int, a binary, b binary")
+    return named_sets(docs, size), connected(_met(met, parts))
 
 
 def _edges(x: np.ndarray, y: np.ndarray) -> tuple[bytes, bytes]:
@@ -326,43 +337,109 @@ def overlap(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np
     return out
 
 
-def _verify(num: int, den: int):
+#: Rows of packed arrays under the key of their exchange.
+_BLOCK = "g bigint, blk int, nb int, f int, data binary"
+_PARTIAL = "g bigint, nb int, i int, j int, data binary"
+
+
+def _one_row(schema: str, *values) -> pa.Table:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.table({n: pa.array([v], kinds[k]) for (n, k), v in zip((c.split() for c in schema.split(", ")), values, strict=True)})
+
+
+def _fragmented(t: pa.Table) -> pa.Table:
+    """A block's sets, cut at the same places of the order: one packed row a fragment."""
+    sets = {}
+    for comp, fp, raw in zip(*(t.column(c).to_pylist() for c in ("comp", "fp", "grams")), strict=True):
+        sets[comp, fp] = np.frombuffer(raw, np.uint64)
+    names = sorted(sets)
+    comps, fps = (np.array(x, np.int64) for x in zip(*names, strict=True))
+    edges = np.array([(f << 64) // FRAGMENTS for f in range(1, FRAGMENTS)], np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(sets[n], edges), [len(sets[n])]]) for n in names]
+    g, blk, nb = (t.column(c)[0].as_py() for c in ("g", "blk", "nb"))
+    out = []
+    for f in range(FRAGMENTS):
+        part = [sets[n][c[f] : c[f + 1]] for n, c in zip(names, cuts, strict=True)]
+        # near copies hold the same n-grams: their places among the block's are small numbers
+        grams, at = np.unique(np.concatenate(part), return_inverse=True)
+        out.append(_one_row(_BLOCK, g, blk, nb, f, packed(comps, fps, small(np.array([len(x) for x in part])), grams, small(at))))
+    return pa.concat_tables(out)
+
+
+def _families_of(data: bytes):
+    """(comp, fps, lengths, sets) of each family in a packed row."""
+    comps, fps, lens, grams, at = unpacked(data)
+    sets = np.split(grams[at.astype(np.int64)], np.cumsum(lens.astype(np.int64))[:-1])
+    bounds = [0, *(np.flatnonzero(comps[1:] != comps[:-1]) + 1), len(comps)]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        yield int(comps[a]), fps[a:b], lens[a:b].astype(np.int64), sets[a:b]
+
+
+def _partial(t: pa.Table) -> pa.Table:
+    """One fragment of two blocks, or of one with itself: how many n-grams each pair shares
+    there, told as what is missing to the most it could, which is little for near copies."""
+    g, nb, i, j = (t.column(c)[0].as_py() for c in ("g", "nb", "i", "j"))
+    rows = dict(zip(t.column("blk").to_pylist(), t.column("data").to_pylist(), strict=True))
+    out = [[], [], [], [], [], []]
+    if i == j:
+        for _, fps, lens, sets in _families_of(rows[i]):
+            if len(fps) > 1:
+                least = np.minimum(lens[:, None], lens[None, :])
+                for to, x in zip(out, (np.array([len(fps)]), fps, lens, fps[:0], lens[:0], (least - overlap(sets)).astype(np.int64).ravel()), strict=True):
+                    to.append(x)
+    elif i in rows and j in rows:
+        (_, fps, lens, sets), (_, fps2, lens2, sets2) = next(_families_of(rows[i])), next(_families_of(rows[j]))
+        least = np.minimum(lens[:, None], lens2[None, :])
+        out = [[np.array([len(fps)])], [fps], [lens], [fps2], [lens2], [(least - overlap(sets, sets2)).astype(np.int64).ravel()]]
+    n, fps, lens, fps2, lens2, missing = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+    return _one_row(_PARTIAL, g, nb, i, j, packed(small(n), fps, small(lens), fps2, small(lens2), small(missing)))
+
+
+def _total(num: int, den: int):
+    """Sums the fragments' partial overlaps per pair; links that span what is linked."""
+
     def run(t: pa.Table) -> pa.Table:
-        by: dict[int, list] = defaultdict(list)
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        for comp, blk, fp, raw in zip(*(t.column(c).to_pylist() for c in ("comp", "blk", "fp", "grams")), strict=True):
-            by[comp].append((blk, fp, np.frombuffer(raw, np.uint64)))
+        parts = [unpacked(x) for x in t.column("data").to_pylist()]
+        if len(parts) != FRAGMENTS:
+            raise RuntimeError("a fragment is missing")
+        own = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        sizes, fps, _, fps2 = parts[0][:4]
         out_a, out_b, out_n = [], [], []
-        for nodes in by.values():
-            left = [x for x in nodes if x[0] == i]
-            right = None if i == j else [x for x in nodes if x[0] == j]
-            if len(left) + (len(right) if right else 0) < 2 or right == [] or not left:
-                continue
-            every = left + (right or [])
-            inter = overlap([x[2] for x in left], [x[2] for x in right] if right else None)
-            na = np.array([len(x[2]) for x in left], np.float64)
-            nb = na if right is None else np.array([len(x[2]) for x in right], np.float64)
-            link = den * inter.astype(np.float64) >= num * (na[:, None] + nb[None, :] - inter)
-            if right is None:
+        at = cell = 0
+        for n in sizes.astype(np.int64):
+            m = n if own else len(fps2)
+            left, right = slice(at, at + n), slice(at, at + n) if own else slice(0, m)
+            at += n
+            inter, na, nb = np.zeros((n, m)), np.zeros(n), np.zeros(m)
+            for x in parts:
+                la = x[2][left].astype(np.int64)
+                lb = (x[2] if own else x[4])[right].astype(np.int64)
+                inter += np.minimum(la[:, None], lb[None, :]) - x[5][cell : cell + n * m].reshape(n, m).astype(np.int64)
+                na += la
+                nb += lb
+            cell += n * m
+            link = den * inter >= num * (na[:, None] + nb[None, :] - inter)
+            names = fps[left]
+            if own:
                 np.fill_diagonal(link, False)
             else:
-                n, m = link.shape
                 whole = np.zeros((n + m, n + m), bool)
                 whole[:n, n:], whole[n:, :n] = link, link.T
-                link = whole
+                link, names = whole, np.concatenate([fps, fps2])
             degree = link.sum(axis=1)
-            label = np.arange(len(every))
+            label = np.arange(len(names))
             while True:
-                least = np.minimum(label, np.where(link, label[None, :], len(every)).min(axis=1))
+                least = np.minimum(label, np.where(link, label[None, :], len(names)).min(axis=1))
                 least = least[least]
                 if (least == label).all():
                     break
                 label = least
-            for x in np.flatnonzero(degree):
-                out_a.append(every[x][1])
-                out_b.append(every[label[x]][1])
-                out_n.append(int(degree[x]))
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "n": pa.array(out_n, pa.int64())})
+            hit = np.flatnonzero(degree)
+            out_a.append(names[hit])
+            out_b.append(names[label[hit]])
+            out_n.append(degree[hit].astype(np.int64))
+        a, b, n = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b, out_n))
+        return pa.table({"a": a, "b": b, "n": n})
 
     return run
 
@@ -385,36 +462,31 @@ def components_of(docs: DataFrame, shingle: int = 3, threshold: tuple[int, int]
     family = checkpointed(family)
     classes = named.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
 
-    # a filter of fixed size keeps texts outside of families from being packed again
-    bits = family.select((F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))).cast("int").alias("bit")).distinct()
-    wanted = np.zeros(1 << FILTER_BITS, bool)
-    wanted[[r[0] for r in bits.collect()]] = True
-    packed_filter = np.packbits(wanted).tobytes()
+    sized = checkpointed(family.join(classes, family.node == classes.fp).groupBy("comp").agg(F.sum("n").alias("grams_n"), F.count("*").alias("sets_n")))
+    blocks = F.greatest(F.ceil(F.col("grams_n") / BLOCK_GRAMS), F.ceil(F.col("sets_n") / BLOCK_SETS)).cast("int")
+    plan = spread_join(family, sized.select("comp", "sets_n", blocks.alias("nb")), "comp", "sets_n", family.count()).select(F.col("node").alias("fp"), "comp", "nb")
+
+    # one document of each class in a family makes the class's set anew
+    heads = family.select(F.col("node").alias("fp")).join(classes, "fp").select(F.col("least").alias("head")).distinct()
+    again = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
 
     def members(_, sets):
-        keep = np.unpackbits(np.frombuffer(packed_filter, np.uint8))
-        out: dict[int, bytes] = {}
-        for g in sets:
-            if len(g):
-                fp = fingerprint(g)
-                if keep[fp & ((1 << FILTER_BITS) - 1)]:
-                    out[fp] = g.tobytes()
+        out = {fingerprint(g): g.tobytes() for g in sets if len(g)}
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["fp", "grams"])
 
-    sized = checkpointed(family.join(classes, family.node == classes.fp).groupBy("comp").agg(F.sum("n").alias("grams_n"), F.count("*").alias("sets_n")))
-    blocks = F.greatest(F.ceil(F.col("grams_n") / BLOCK_GRAMS), F.ceil(F.col("sets_n") / BLOCK_SETS)).cast("int")
-    plan = spread_join(family, sized.select("comp", "sets_n", blocks.alias("nb")), "comp", "sets_n", family.count()).select(F.col("node").alias("fp"), "comp", "nb")
-    sets = _sets(docs, shingle, members, "fp bigint, grams binary").join(plan, "fp").dropDuplicates(["fp"])
-    blk = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
-    sets = sets.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    small = 8 * shuffle_parts(docs.sparkSession)
-    sets = sets.select(
-        F.when(F.col("nb") == 1, F.pmod("comp", F.lit(small))).otherwise(F.col("comp")).alias("g"),
-        F.least("blk", "other").alias("i"),
-        F.greatest("blk", "other").alias("j"),
-        "comp", "blk", "fp", "grams",
+    small_bins = 8 * shuffle_parts(docs.sparkSession)
+    sets = _sets(again, shingle, members, "fp bigint, grams binary").join(plan, "fp").select(
+        F.when(F.col("nb") == 1, F.pmod("comp", F.lit(small_bins))).otherwise(F.col("comp")).alias("g"),
+        F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int").alias("blk"),
+        "nb", "comp", "fp", "grams",
     )
-    links = checkpointed(sets.groupBy("g", "i", "j").applyInArrow(_verify(num, den), "a bigint, b bigint, n bigint"))
+    # families of one block share bins; those of more have keys of their own, told apart by nb
+    cut = sets.groupBy("g", "blk", "nb").applyInArrow(_fragmented, _BLOCK)
+    pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
+        "g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "nb", "f", "blk", "data"
+    )
+    partial = pairs.groupBy("g", "nb", "i", "j", "f").applyInArrow(_partial, _PARTIAL)
+    links = checkpointed(partial.groupBy("g", "nb", "i", "j").applyInArrow(_total(num, den), "a bigint, b bigint, n bigint"))
 
     comps = connected(links.filter("a <> b").select("a", "b"))
     counted = links.groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n_links"))
