@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_words, packed, shuffle_parts, small, spread_join, unpacked
+from .common import checkpointed, lower_words, packed, release, shuffle_parts, small, spread_join, unpacked
 from .components import connected
 
 #: n-grams and sets of a block, at most about so many; ranges of the order that are counted apart.
@@ -460,6 +460,7 @@ def components_of(docs: DataFrame, shingle: int = 3, threshold: tuple[int, int]
     candidates = families if 100 * num >= 85 * den else rare_families
     named, family = candidates(docs, shingle, num, den)
     family = checkpointed(family)
+    release(docs.sparkSession)
     classes = named.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
 
     sized = checkpointed(family.join(classes, family.node == classes.fp).groupBy("comp").agg(F.sum("n").alias("grams_n"), F.count("*").alias("sets_n")))
@@ -488,6 +489,7 @@ def components_of(docs: DataFrame, shingle: int = 3, threshold: tuple[int, int]
     partial = pairs.groupBy("g", "nb", "i", "j", "f").applyInArrow(_partial, _PARTIAL)
     links = checkpointed(partial.groupBy("g", "nb", "i", "j").applyInArrow(_total(num, den), "a bigint, b bigint, n bigint"))
 
+    release(docs.sparkSession)
     comps = connected(links.filter("a <> b").select("a", "b"))
     counted = links.groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n_links"))
     by_class = checkpointed(classes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").join(counted, "fp", "left"))

@@ -264,10 +264,11 @@ def test_jaccard_keeps_rows_without_id(spark):
     assert got == sorted(map(str, [(None, 2, 3, 0), (None, 2, 3, 0), (3, 2, 3, 0), (None, 1, None, 0), (None, 0, None, 0)]))
 
 
-def test_components_of_long_chains_and_hubs(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [100, 10**6])
+def test_components_of_long_chains_and_hubs(spark, monkeypatch, hot):
     from strandline.llm import components
 
-    monkeypatch.setattr(common, "HOT_SHARE", 20)  # hubs take the other way
+    monkeypatch.setattr(components, "HOT_ROWS", hot)  # hubs take the other way, or not
     chain = [(i, i + 1) for i in range(700)]
     rnd = random.Random(1)
     mixed = list(range(1000, 1400))
