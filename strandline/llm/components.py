@@ -10,7 +10,7 @@ from .common import checkpointed
 
 #: A node of so many edges is no burden to one task; nodes of more, and of more than one edge
 #: in HOT_SHARE, meet their edges by broadcast.
-HOT_ROWS = 100_000
+HOT_ROWS = 10_000
 
 
 def connected(edges: DataFrame) -> DataFrame:
