@@ -100,16 +100,21 @@ def read_or_contig(bases: Column, limit: int = 5000) -> Column:
     return F.when(F.length(bases) >= limit, "contig").otherwise("read")
 
 
-def outcome(seeds: Column, edit: Column, length: Column, cutoff: float | None = 0.20) -> Column:
-    """What became of a read: placed from identity 0.95, else why not."""
-    ident = scalars.identity(edit, length)
-    base = F.when(seeds == 0, "no_seed").when(edit.isNull(), "no_alignment")
+def outcome(seeds: Column, edit: Column, length: Column, cutoff: float | None = None, report: float = 0.95) -> Column:
+    """What became of a read: no_alignment, fast_cutoff past the strategy's divergence, placed
+    from the reported identity on; below it, below_threshold with shared seeds and no_seed without."""
+    base = F.when(edit.isNull(), "no_alignment")
     if cutoff is not None:
-        base = base.when(edit / F.greatest(length, F.lit(1)) > cutoff, "fast_cutoff")
-    return base.when(ident >= 0.95, "placed").otherwise("below_threshold")
+        base = base.when(~within_divergence(edit, length, cutoff), "fast_cutoff")
+    base = base.when(scalars.identity(edit, length) >= report, "placed")
+    return base.when(F.coalesce(seeds, F.lit(0)) > 0, "below_threshold").otherwise("no_seed")
 
 
-def within_divergence(edit: Column, length: Column, cutoff: float = 0.20) -> Column:
+#: Fixed value: the fast strategy drops reads whose best alignment differs in more than this share.
+FAST_DIVERGENCE = 0.20
+
+
+def within_divergence(edit: Column, length: Column, cutoff: float = FAST_DIVERGENCE) -> Column:
     return edit / F.greatest(length, F.lit(1)) <= cutoff
 
 

@@ -134,11 +134,12 @@ def compression_ratio(runs: Column, total: Column) -> Column:
 
 
 def truth_of_name(read_id: Column) -> Column:
-    """struct<contig, lo, hi> from names like rand_CONTIG_START_END_...; null elsewhere."""
-    bare = F.regexp_replace(F.regexp_replace(read_id, r"/\d+$", ""), "^rand_", "")
-    part = lambda g: F.regexp_extract(bare, r"^(.+?)_(\d+)_(\d+)_", g)
+    """struct<contig, lo, hi> from names of simulated reads, CONTIG_START_END_..., what follows
+    the last slash left out; null elsewhere, and for reads that were placed at random (rand_...)."""
+    bare = F.regexp_replace(read_id, "/[^/]*$", "")
+    part = lambda g: F.regexp_extract(bare, r"^(.+?)_(\d+)_(\d+)_", g)  # noqa: E731  fixed by the simulators' format
     a, b = F.nullif(part(2), F.lit("")).cast("bigint"), F.nullif(part(3), F.lit("")).cast("bigint")
-    return F.when(a.isNotNull(), F.struct(part(1).alias("contig"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")))
+    return F.when(a.isNotNull() & ~bare.startswith("rand_"), F.struct(part(1).alias("contig"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")))
 
 
 def matching_prefix(a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.scalars import truth_of_name
@@ -41,14 +41,28 @@ def best_placement(placements: DataFrame) -> DataFrame:
     return placements.groupBy("query_id").agg(F.max_by("pos", F.struct("score", -F.col("pos"))).alias("pos"), F.max("score").alias("score"))
 
 
-def placement_accuracy(placements: DataFrame, truth: DataFrame, tolerance: int = 10) -> DataFrame:
-    """(reads, correct, accuracy) of the best placement against any of a read's true starts.
+def placement_accuracy(placements: DataFrame, truth: DataFrame, tolerance: int = 10, total: int | None = None) -> DataFrame:
+    """The best placement against any of a read's true starts, over placed reads with a truth:
+    (mapped, evaluated, correct, accuracy, unaligned, unaligned_fraction).
 
-    truth: (query_id, lo, hi, read_length); a read without a placement counts as wrong."""
-    j = truth.join(best_placement(placements), "query_id", "left")
+    truth: (query_id, lo, hi, read_length). Reads without a placement or a truth are no error;
+    how many of ``total`` reads (all mapped ones by default) were not placed is told apart.
+    """
     near = lambda c: F.abs(F.col("pos") - c) <= tolerance
-    ok = near(F.col("lo")) | near(F.col("hi")) | near(F.col("hi") - F.col("read_length") + 1)
-    return j.agg(F.count("*").alias("reads"), F.sum(F.coalesce(ok, F.lit(False)).cast("bigint")).alias("correct")).withColumn("accuracy", F.col("correct") / F.col("reads"))
+    return _accuracy(placements, truth, near(F.col("lo")) | near(F.col("hi")) | near(F.col("hi") - F.col("read_length") + 1), total)
+
+
+def _accuracy(placements: DataFrame, truth: DataFrame, ok: Column, total: int | None) -> DataFrame:
+    j = best_placement(placements).join(truth.withColumn("__known", F.lit(True)), "query_id", "left")
+    known = F.col("__known").isNotNull()
+    a = j.agg(F.count("*").alias("mapped"), F.count(F.when(known, 1)).alias("evaluated"), F.count(F.when(known & ok, 1)).alias("correct"))
+    of = F.lit(total).cast("bigint") if total else F.col("mapped")
+    gone = F.greatest(of - F.col("mapped"), F.lit(0)).cast("bigint")
+    return a.select("mapped", "evaluated", "correct", _share(F.col("correct"), F.col("evaluated")).alias("accuracy"), gone.alias("unaligned"), _share(gone, of).alias("unaligned_fraction"))
+
+
+def _share(part: Column, whole: Column) -> Column:
+    return F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0))
 
 
 def truth_from_names(reads: DataFrame) -> DataFrame:
@@ -56,11 +70,11 @@ def truth_from_names(reads: DataFrame) -> DataFrame:
     return reads.select(F.col("id").alias("query_id"), t["lo"].alias("lo"), t["hi"].alias("hi"), F.length("bases").alias("read_length")).filter("lo is not null")
 
 
-def start_accuracy(placements: DataFrame, truth: DataFrame, tolerance: int = 3) -> DataFrame:
-    """Against one true start: truth (query_id, start)."""
-    j = truth.join(best_placement(placements), "query_id", "left")
-    ok = F.coalesce(F.abs(F.col("pos") - F.col("start")) <= tolerance, F.lit(False))
-    return j.agg(F.count("*").alias("reads"), F.sum(ok.cast("bigint")).alias("correct")).withColumn("accuracy", F.col("correct") / F.col("reads"))
+def start_accuracy(placements: DataFrame, truth: DataFrame, tolerance: int = 3, total: int | None = None) -> DataFrame:
+    """Against one true start, like `placement_accuracy`: truth (query_id, start). Only the first
+    word of a placed name counts, as sequence headers may go on."""
+    named = placements.withColumn("query_id", F.split(F.col("query_id").cast("string"), " ")[0])
+    return _accuracy(named, truth.withColumn("query_id", F.col("query_id").cast("string")), F.abs(F.col("pos") - F.col("start")) <= tolerance, total)
 
 
 def indel_concordance(alignments: DataFrame, truth: DataFrame) -> DataFrame:
@@ -71,11 +85,29 @@ def indel_concordance(alignments: DataFrame, truth: DataFrame) -> DataFrame:
     return j.agg(F.count("*").alias("reads"), F.sum(ok.cast("bigint")).alias("concordant")).withColumn("iec", F.col("concordant") / F.col("reads"))
 
 
-def replicates(runs: DataFrame, warn: float = 0.05) -> DataFrame:
-    """(target, reps, mean_wall, cv, noisy) of (target, wall): noisy where the deviation passes 5 %."""
-    a = runs.groupBy("target").agg(F.count("*").alias("reps"), F.avg("wall").alias("mean_wall"), F.coalesce(F.stddev_samp("wall"), F.lit(0.0)).alias("sd"))
+def replicates(runs: DataFrame, warn: float = 0.05, threads: int = 8, triad_gbps: float | None = None) -> DataFrame:
+    """(target, reps, mean_wall, cv, noisy) of (target, wall): noisy where the deviation passes 5 %.
+
+    Of the columns peak_rss_gb, unaligned_frac and total_reads those that ``runs`` has give
+    peak_rss_gb (null where none is above 0), unaligned_frac (the mean of those above 0) and
+    total_reads (the most); with the memory's triad rate, rnt: reads by wall, threads and rate.
+    """
+    has = set(runs.columns)
+    above = lambda c: F.when(F.col(c) > 0, F.col(c))
+    aggs = [F.count("*").alias("reps"), F.avg("wall").alias("mean_wall"), F.coalesce(F.stddev_samp("wall"), F.lit(0.0)).alias("sd")]
+    if "peak_rss_gb" in has:
+        aggs.append(F.when(F.max("peak_rss_gb") > 0, F.round(F.avg("peak_rss_gb"), 3)).alias("peak_rss_gb"))
+    if "unaligned_frac" in has:
+        aggs.append(F.round(F.avg(above("unaligned_frac")), 4).alias("unaligned_frac"))
+    if "total_reads" in has:
+        aggs.append(F.max("total_reads").alias("total_reads"))
+    a = runs.groupBy("target").agg(*aggs)
     cv = F.coalesce(F.col("sd") / F.nullif(F.col("mean_wall"), F.lit(0.0)), F.lit(0.0))
-    return a.select("target", "reps", "mean_wall", cv.alias("cv"), (cv > warn).alias("noisy"))
+    more = [c for c in ("peak_rss_gb", "unaligned_frac", "total_reads") if c in has]
+    out = a.select("target", "reps", "mean_wall", cv.alias("cv"), (cv > warn).alias("noisy"), *more)
+    if triad_gbps is not None and "total_reads" in has:
+        out = out.withColumn("rnt", F.round(F.col("total_reads") / F.nullif(F.col("mean_wall") * threads * triad_gbps / 1000, F.lit(0.0)), 4))
+    return out
 
 
 def aligned_queries(placements: DataFrame) -> DataFrame:
