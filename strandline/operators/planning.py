@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 
 def use_case(inputs: DataFrame, has_reference: bool, contig_length: int = 5000) -> DataFrame:
-    """One row (use_case): 1 reads alone, 2 reads on a reference, 3 contigs and reads or many
-    files without reference, 4 contigs, 5 contigs on a reference. inputs: (file_idx, seq_idx, bases)."""
+    """One row (use_case): 1 one sequence or none alone, 2 reads on a reference, 3 several files
+    without a reference (contigs and reads), 4 contigs: one file of several sequences without a
+    reference, or a reference with inputs that are all of contig length.
+
+    inputs: (file_idx, seq_idx, bases) without the reference. Without one only files and
+    sequences count, not lengths.
+    """
     a = inputs.agg(F.countDistinct("file_idx").alias("files"), F.coalesce(F.min((F.length("bases") >= contig_length).cast("int")), F.lit(0)).alias("all_long"), F.count("*").alias("n"))
     with_ref = F.when(F.col("all_long") == 1, 4).otherwise(2)
-    without = F.when(F.col("n") == 0, 1).when(F.col("files") > 1, 3).when(F.col("all_long") == 1, 4).otherwise(1)
+    without = F.when(F.col("files") > 1, 3).when(F.col("n") > 1, 4).otherwise(1)
     return a.select((with_ref if has_reference else without).alias("use_case"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,12 @@ def timestamp(now: str | None = None) -> str:
     return at.isoformat()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see: under spark.checkpoint.dir, or the warehouse without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 def _meta(spark: SparkSession, path: str, data: dict) -> None:
     spark.createDataFrame([(json.dumps(data, sort_keys=True),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
@@ -45,11 +52,19 @@ def write_plan(path: str, tables: dict[str, DataFrame], meta: dict | None = None
     _meta(spark, path, {"version": PLAN_VERSION, "tables": sorted(tables), **(meta or {})})
 
 
-def read_plan(spark: SparkSession, path: str, worker: int | None = None) -> tuple[dict, dict[str, DataFrame]]:
-    """(meta, tables); with a worker only its chunk, which prunes to one folder."""
-    meta = _check(spark, path, PLAN_VERSION)
+def read_contents(spark: SparkSession, path: str) -> dict:
+    """What a plan holds, without opening its tables: version, names and what its writer added."""
+    return _check(spark, path, PLAN_VERSION)
+
+
+def read_plan(spark: SparkSession, path: str, worker: int | None = None, only: tuple[str, ...] | None = None) -> tuple[dict, dict[str, DataFrame]]:
+    """(meta, tables), or only the tables named; with a worker only its chunk, which prunes to one folder."""
+    meta = read_contents(spark, path)
+    missing = set(only or ()) - set(meta["tables"])
+    if missing:
+        raise ValueError(f"{path}: no tables {sorted(missing)}")
     tables = {}
-    for name in meta["tables"]:
+    for name in only if only is not None else meta["tables"]:
         df = spark.read.parquet(f"{path}/{name}")
         tables[name] = df.filter(F.col("chunk_id") == worker) if worker is not None and "chunk_id" in df.columns else df
     return meta, tables
@@ -66,13 +81,40 @@ def read_observations(spark: SparkSession, path: str) -> tuple[dict, DataFrame,
     return meta, spark.read.parquet(f"{path}/observations"), spark.read.parquet(f"{path}/coverage")
 
 
+def write_filtered(spark: SparkSession, path: str, keep, out: str) -> None:
+    """Observations that ``keep`` (a Column) lets pass, with the coverage, the reference's length,
+    the sample and the timestamp of the original."""
+    meta, obs, coverage = read_observations(spark, path)
+    write_observations(obs.filter(keep), coverage, out, meta["reference_length"], meta["sample_id"], meta["timestamp"])
+
+
 def query_index(placements: DataFrame, least: float = 0.95) -> DataFrame:
-    """Placements of enough score, ordered for the sink; queries left empty have no rows."""
-    return placements.filter(F.col("score") >= least).orderBy("query_id", "pos", F.col("score").desc())
+    """Placements of enough score, each query's together and ordered; queries left empty have no rows."""
+    return placements.filter(F.col("score") >= least).repartition("query_id").sortWithinPartitions("query_id", "pos", F.col("score").desc())
 
 
 def cross_space_index(placements: DataFrame, least: float = 0.95) -> DataFrame:
-    return placements.filter(F.col("identity") >= least).orderBy("query_id", "space", "pos", F.col("identity").desc())
+    return placements.filter(F.col("identity") >= least).repartition("query_id").sortWithinPartitions("query_id", "space", "pos", F.col("identity").desc())
+
+
+def write_queries(index: DataFrame, path: str) -> None:
+    """An index of either kind, as `query_index` or `cross_space_index` orders it."""
+    index.write.mode("overwrite").parquet(path)
+
+
+def read_queries(spark: SparkSession, path: str) -> DataFrame:
+    return _index(spark, path, {"query_id", "pos", "score"})
+
+
+def read_cross_space_queries(spark: SparkSession, path: str) -> DataFrame:
+    return _index(spark, path, {"query_id", "space", "pos", "identity"})
+
+
+def _index(spark: SparkSession, path: str, needs: set[str]) -> DataFrame:
+    df = spark.read.parquet(path)
+    if not needs <= set(df.columns):
+        raise ValueError(f"{path}: no such index, it lacks {sorted(needs - set(df.columns))}")
+    return df
 
 
 def write_tasks(tasks: DataFrame, path: str) -> None:
