@@ -12,30 +12,62 @@ from pyspark.sql import functions as F
 from strandline.functions.scalars import quantize
 
 
-def coverage_sweep(spans: DataFrame, ref: str = "ref_id", start: str = "start", end: str = "end") -> DataFrame:
+#: Positions that one task sweeps by itself; what crosses a border is told by one row a border.
+BIN = 1 << 20
+
+
+def coverage_sweep(spans: DataFrame, ref: str = "ref_id", start: str = "start", end: str = "end", bin_size: int = BIN) -> DataFrame:
     """Half-open spans as runs of equal depth: (ref_id, start, end, depth), depth 0 left out.
 
     Ends become +1 and -1 events, summed per position before the running sum, so that the
     window sees each position once however deep the coverage.
     """
     ends = spans.select(F.col(ref).alias("ref_id"), F.inline(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).alias("d")), F.struct(F.col(end).alias("pos"), F.lit(-1).alias("d")))))
-    return _sweep(ends)
+    return _sweep(ends, bin_size)
 
 
-def _sweep(events: DataFrame) -> DataFrame:
-    at = events.groupBy("ref_id", "pos").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy("ref_id").orderBy("pos")
-    runs = at.select("ref_id", F.col("pos").alias("start"), F.lead("pos").over(w).alias("end"), F.sum("d").over(w).cast("bigint").alias("depth"))
-    return runs.filter("end is not null and depth <> 0")
+def _sweep(events: DataFrame, bin_size: int) -> DataFrame:
+    """Running sums within bins of positions, on top of the sum of all bins before.
 
-
-def rle_encode(points: DataFrame, value: str = "value") -> DataFrame:
+    A bin is a partition of the window, so that one long reference is the work of many tasks;
+    only one row a bin (its sum and first position) goes through a window over the reference.
+    """
+    at = events.groupBy("ref_id", F.floor(F.col("pos") / bin_size).alias("bin"), "pos").agg(F.sum("d").alias("d"))
+    bins = at.groupBy("ref_id", "bin").agg(F.sum("d").alias("sum"), F.min("pos").alias("first"))
+    over = Window.partitionBy("ref_id").orderBy("bin")
+    before = F.coalesce(F.sum("sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.select("ref_id", "bin", before.alias("before"), F.lead("first").over(over).alias("after"))
+    w = Window.partitionBy("ref_id", "bin").orderBy("pos")
+    runs = at.select("ref_id", "bin", F.col("pos").alias("start"), F.lead("pos").over(w).alias("end"), F.sum("d").over(w).alias("depth"))
+    whole = runs.join(bins, ["ref_id", "bin"]).select("ref_id", "start", F.coalesce("end", "after").alias("end"), (F.col("depth") + F.col("before")).cast("bigint").alias("depth"))
+    return whole.filter("end is not null and depth <> 0")
+
+
+def rle_encode(points: DataFrame, value: str = "value", bin_size: int = BIN) -> DataFrame:
     """(ref_id, start, length, value) of equal quantised neighbours; points: (ref_id, pos, value)."""
-    w = Window.partitionBy("ref_id").orderBy("pos")
-    q = points.select("ref_id", "pos", quantize(F.col(value)).alias("value"))
-    new = (F.col("value") != F.lag("value").over(w)) | (F.col("pos") != F.lag("pos").over(w) + 1)
-    marked = q.withColumn("run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w))
-    return marked.groupBy("ref_id", "run", "value").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("length")).select("ref_id", "start", "length", "value")
+    q = points.select("ref_id", F.floor(F.col("pos") / bin_size).alias("bin"), F.col("pos").alias("start"), F.col("pos").alias("end"), quantize(F.col(value)).alias("value"))
+    runs = _joined(q, ["ref_id"], ["value"], bin_size)
+    return runs.select("ref_id", "start", (F.col("end") - F.col("start") + 1).cast("int").alias("length"), "value")
+
+
+def _joined(parts: DataFrame, by: list[str], like: list[str], bin_size: int) -> DataFrame:
+    """Inclusive (start, end) pieces with a bin, those that touch and are alike made one.
+
+    First within bins, then among the pieces that touch a border of their bin: two a bin at most.
+    """
+
+    def islands(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("start") if keys else Window.orderBy("start")
+        new = F.col("start") != F.lag("end").over(w) + 1
+        for c in like:
+            new = new | (F.col(c) != F.lag(c).over(w))
+        marked = rows.withColumn("run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w))
+        return marked.groupBy(*keys, *like, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+
+    inside = islands(parts, [*by, "bin"])
+    borders = (F.col("start") == F.col("bin") * bin_size) | (F.col("end") == (F.col("bin") + 1) * bin_size - 1)
+    cols = [*by, "start", "end", *like]
+    return inside.filter(~borders).select(*cols).unionByName(islands(inside.filter(borders).drop("bin"), by).select(*cols))
 
 
 def rle_decode(runs: DataFrame) -> DataFrame:
@@ -44,18 +76,29 @@ def rle_decode(runs: DataFrame) -> DataFrame:
     return runs.filter("length > 0").select("ref_id", each.alias("pos"), "value")
 
 
-def merge_coverage(runs: DataFrame) -> DataFrame:
+def coverage_at(runs: DataFrame, points: DataFrame, bin_size: int = 4096) -> DataFrame:
+    """Points (ref_id, pos, ...) with the value of the run that holds them; null outside of all.
+
+    Runs: (ref_id, start, length, value) without overlap. Both sides meet by bins of positions.
+    """
+    end = F.col("start") + F.col("length")
+    bins = F.sequence(F.floor(F.col("start") / bin_size), F.floor((end - 1) / bin_size))
+    cut = runs.filter("length > 0").select(F.col("ref_id").alias("__ref"), F.col("start").alias("__start"), end.alias("__end"), F.col("value"), F.explode(bins).alias("__bin"))
+    on = (F.col("ref_id") == F.col("__ref")) & (F.floor(F.col("pos") / bin_size) == F.col("__bin")) & (F.col("pos") >= F.col("__start")) & (F.col("pos") < F.col("__end"))
+    return points.drop("value").join(cut, on, "left").drop("__ref", "__start", "__end", "__bin")
+
+
+def merge_coverage(runs: DataFrame, bin_size: int = BIN) -> DataFrame:
     """Sums the runs of all samples and quantises the sums: (ref_id, start, end, value)."""
     end = F.col("start") + F.col("length")
     events = runs.select("ref_id", F.inline(F.array(F.struct(F.col("start").alias("pos"), F.col("value").cast("bigint").alias("d")), F.struct(end.alias("pos"), (-F.col("value").cast("bigint")).alias("d")))))
-    return _sweep(events).select("ref_id", "start", "end", quantize(F.col("depth")).alias("value"))
+    return _sweep(events, bin_size).select("ref_id", "start", "end", quantize(F.col("depth")).alias("value"))
 
 
-def hotspots(scores: DataFrame, threshold: float = 0.5, pos: str = "pos", score: str = "score") -> DataFrame:
+def hotspots(scores: DataFrame, threshold: float = 0.5, pos: str = "pos", score: str = "score", bin_size: int = BIN) -> DataFrame:
     """Inclusive (start, end) islands of neighbouring positions whose score is below the threshold."""
-    low = scores.filter(F.col(score) < threshold).select(F.col(pos).cast("bigint").alias("pos")).distinct()
-    island = F.col("pos") - F.row_number().over(Window.orderBy("pos"))
-    return low.withColumn("i", island).groupBy("i").agg(F.min("pos").alias("start"), F.max("pos").alias("end")).select("start", "end")
+    low = scores.filter(F.col(score) < threshold).select(F.col(pos).cast("bigint").alias("start")).distinct()
+    return _joined(low.select(F.floor(F.col("start") / bin_size).alias("bin"), "start", F.col("start").alias("end")), [], [], bin_size).select("start", "end")
 
 
 def in_interval(points: DataFrame, intervals: DataFrame, out: str, bin_size: int = 4096, pos: str = "pos") -> DataFrame:

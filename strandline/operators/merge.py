@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def allele_key(alleles: Column) -> Column:
-    """Alleles in a fixed order; maps themselves can't be grouped."""
-    return F.array_sort(F.map_entries(alleles))
+    """Alleles in a fixed order as text; maps themselves can't be grouped, and text hashes fast."""
+    return F.to_json(F.array_sort(F.map_entries(alleles)))
 
 
 def union_samples(frames: list[DataFrame], lengths: list[int] | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from strandline.operators.merge import allele_key
 
 def stream_observations(spark: SparkSession, path: str, schema, event_time: str | None = None, delay: str = "1 day") -> DataFrame:
     """New observations under ``path``; with an event time the state of repeats is bounded by it."""
-    rows = spark.readStream.schema(schema).parquet(path).withColumn("allele_key", F.to_json(allele_key(F.col("all_alleles"))))
+    rows = spark.readStream.schema(schema).parquet(path).withColumn("allele_key", allele_key(F.col("all_alleles")))
     keys = ["position", "allele_key", "provenance"]
     if event_time:
         return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys).drop("allele_key")
