@@ -27,19 +27,21 @@ def chain_seeds(seeds: list[tuple[int, int]], p: ChainParams = ChainParams()) ->
     """Collinear chains of (query_pos, target_pos), best first: [(score, seeds)].
 
     A chain gains, per step, the new bases a seed covers less a concave cost of the change of
-    diagonal; steps reach max_dist + seed_len in the target. Seeds belong to one chain.
+    diagonal; steps reach max_dist + seed_len in the target. Looking back for a seed's best
+    predecessor ends after max_skip candidates that had themselves lost that often before.
+    Seeds belong to one chain; a chain's score is that of its end, also where a better chain
+    has its first seeds.
     """
     s = sorted(set(seeds), key=lambda x: (x[1], x[0]))
     reach = p.max_dist + p.seed_len
-    best, back = [0] * len(s), [-1] * len(s)
+    best, back, lost = [p.seed_len] * len(s), [-1] * len(s), [0] * len(s)
     for i, (qi, ti) in enumerate(s):
-        best[i] = p.seed_len
-        skipped = 0
+        idle = 0
         for j in range(i - 1, max(-1, i - 1 - p.max_iter), -1):
             qj, tj = s[j]
-            if ti - tj >= reach:
-                break
             dq, dt = qi - qj, ti - tj
+            if dt >= reach:
+                break
             drift = abs(dt - dq)
             if dq <= 0 or dt <= 0 or drift > p.max_band:
                 continue
@@ -47,24 +49,24 @@ def chain_seeds(seeds: list[tuple[int, int]], p: ChainParams = ChainParams()) ->
             v = best[j] + min(p.seed_len, dq, dt) - cost
             if v > best[i]:
                 best[i], back[i] = v, j
-                skipped = max(0, skipped - 1)
-            else:
-                skipped += 1
-                if skipped > p.max_skip:
-                    break
+                idle -= idle > 0
+                continue
+            lost[j] += 1
+            idle += lost[j] > p.max_skip
+            if idle > p.max_skip:
+                break
     used = [False] * len(s)
     out = []
-    for i in sorted(range(len(s)), key=lambda i: (-best[i], i)):
-        if used[i] or best[i] < p.min_score:
-            continue
+    for i in sorted(range(len(s)), key=lambda i: -best[i]):
+        if best[i] < p.min_score:
+            break
         path, at = [], i
         while at >= 0 and not used[at]:
             used[at] = True
             path.append(s[at])
             at = back[at]
-        out.append((best[i] - (best[at] if at >= 0 else 0), path[::-1]))
-    out = [c for c in out if c[0] >= p.min_score]
-    out.sort(key=lambda c: -c[0])
+        if path:
+            out.append((best[i], sorted(path)))
     return out
 
 
@@ -204,6 +206,57 @@ def align_rows(query: bytes, target: bytes, fitting: bool = True) -> Alignment:
     return Alignment(compact("".join(reversed(ops))), int(rows[n, end]), end)
 
 
+def align_bits(query: bytes, target: bytes, fitting: bool = True, max_edits: int | None = None) -> Alignment | None:
+    """`align_rows` with a whole column of the table in two bit vectors (Myers 1999, Hyyro 2003);
+    the same path on ties. None past max_edits, which also ends the columns early.
+
+    A column keeps where its values rise downwards, and where they rise from the column before.
+    """
+    n, m = len(query), len(target)
+    ones, top = (1 << n) - 1, 1 << n >> 1
+    hits: dict[int, int] = {}
+    for i, c in enumerate(query):
+        hits[c] = hits.get(c, 0) | 1 << i
+    rise, fall, score = ones, 0, n
+    rises, grows = [ones], [0]
+    best, end = (n, 0) if fitting else (n + m, m)
+    limit = n + m if max_edits is None else max_edits
+    for j, c in enumerate(target, 1):
+        eq = hits.get(c, 0)
+        x = ((eq & rise) + rise ^ rise | eq) & ones
+        up = fall | ones & ~(x | rise)
+        down = rise & x
+        if n:
+            score += (up & top > 0) - (down & top > 0)
+        else:
+            score = j
+        grows.append(up)
+        up, down, keep = up << 1 & ones | 1, down << 1 & ones, eq | fall
+        rise, fall = down | ones & ~(keep | up), up & keep
+        rises.append(rise)
+        if fitting and score < best:
+            best, end = score, j
+        # a column more lowers the distance by one at most
+        if score - (m - j) > limit and (not fitting or best > limit):
+            return None
+    if not fitting:
+        best = score if m else n
+    if best > limit:
+        return None
+    i, j, ops = n, end, []
+    while i > 0 or j > 0:
+        if i > 0 and rises[j] >> i - 1 & 1:
+            ops.append("D")
+            i -= 1
+        elif j > 0 and (i == 0 or grows[j] >> i - 1 & 1):
+            ops.append("I")
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            ops.append("M" if query[i] == target[j] else "X")
+    return Alignment(compact("".join(reversed(ops))), best, end)
+
+
 def align_affine(query: bytes, target: bytes, mismatch: int = 2, gap_open: int = 4, gap_extend: int = 1, fitting: bool = True) -> Alignment:
     """Affine gaps (three tables, vectorised by rows); the distance told is that of its CIGAR."""
     n, m = len(query), len(target)
