@@ -56,6 +56,43 @@ def test_alignments(seed):
     assert k.align_wavefront(b"AAAA", b"TTTT", False, 2) is None
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_bit_vectors_give_the_rows_path(seed):
+    r = random.Random(seed)
+    for _ in range(60):
+        q = bytes(r.choice(b"ACG") for _ in range(r.randint(0, 20)))
+        t = bytes(r.choice(b"ACG") for _ in range(r.randint(0, 25)))
+        for fitting in (True, False):
+            whole = k.align_rows(q, t, fitting)
+            assert k.align_bits(q, t, fitting) == whole
+            short = k.align_bits(q, t, fitting, 3)
+            assert short == whole if whole.edit_distance <= 3 else short is None
+
+
+def test_chains_look_back_past_losers():
+    """A predecessor that has lost often counts against the search; others don't."""
+    p = k.ChainParams(max_skip=1)
+    seeds = [(0, 0)] + [(40 - i, 41 + i) for i in range(8)] + [(60, 60)]
+    (score, path), *_ = k.chain_seeds(seeds, p)
+    assert score >= 42 and path[-1] == (60, 60)
+    # two chains that share a beginning: the second keeps the score of its end
+    fork = [(0, 0), (30, 30), (60, 60), (62, 90)]
+    chains = k.chain_seeds(fork)
+    assert chains[0][1] == [(0, 0), (30, 30), (60, 60)] and all(c[0] >= 25 for c in chains)
+
+
+def test_md5_of_rows_and_minimizers():
+    import hashlib
+
+    import numpy as np
+
+    from strandline.operators.sketch import md5_rows
+
+    for size in (0, 1, 21, 55):
+        rows = np.frombuffer(random.Random(size).randbytes(size * 9), np.uint8).reshape(9, size)
+        assert [x.tobytes().hex() for x in md5_rows(rows)] == [hashlib.md5(x.tobytes()).hexdigest() for x in rows]
+
+
 def test_affine_cost_is_least():
     r = random.Random(9)
     for _ in range(40):
