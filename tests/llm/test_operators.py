@@ -555,14 +555,35 @@ def test_top_k(spark):
     got = sorted(tuple(r) for r in vafile.top_k(df.filter("vec_id % 50 = 0"), df.repartition(4)).collect())
     import math
 
-    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for q, v in ints:
         if q % 50 == 0:
             best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ints if i != q and len(w) == len(v))[:5]
             want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert got == sorted(want)
-    assert vafile.top_k(df.limit(0), df).count() == 0
+    assert vafile.top_k(df.limit(0), df).count() == 0 and vafile.top_k(df, df.limit(0)).count() == 0
+
+
+def test_cells_bound_scores_and_leave_out_nothing():
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    for dim, spread in ((1, 3), (6, 500), (20, 1 << 20)):
+        x, q = rnd.integers(-spread, spread, (90, dim)), rnd.integers(-spread, spread, (11, dim))
+        made = vafile._cells(x)
+        cells, low, width = (np.frombuffer(made[c], t) for c, t in (("data", np.uint8), ("low", np.int64), ("width", np.int64)))
+        least, most = vafile.bounds(q, cells.reshape(90, dim), low, width)
+        score = q @ x.T
+        assert (least <= 2 * score).all() and (2 * score <= most).all()
+        best, kept = None, []
+        for at in range(0, 90, 30):
+            part = slice(at, at + 30)
+            keep, best = vafile.survivors(least[:, part], most[:, part], np.zeros((11, 30), bool), 5, best)
+            kept.append(keep)
+        for r, keep in enumerate(np.concatenate(kept, axis=1)):
+            assert set(np.argsort(-score[r], kind="stable")[:5]) <= set(np.flatnonzero(keep))
+            assert dim > 1 or keep.sum() < 90
 
 
 def test_top_k_of_large_vectors(spark):
