@@ -583,7 +583,7 @@ def test_cells_bound_scores_and_leave_out_nothing():
             kept.append(keep)
         for r, keep in enumerate(np.concatenate(kept, axis=1)):
             assert set(np.argsort(-score[r], kind="stable")[:5]) <= set(np.flatnonzero(keep))
-            assert dim > 1 or keep.sum() < 90
+            assert dim < 20 or keep.sum() < 60
 
 
 def test_top_k_of_large_vectors(spark):
