@@ -10,6 +10,7 @@ is memoised. The result equals that of merging by rank, in time linear in the te
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterator
 from functools import partial
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Pre-tokens up to this many characters are kept in a worker's cache, at most so many.
-CACHED_CHARS, CACHED = 40, 200_000
+CACHED_CHARS, CACHED = 40, 600_000
 #: Pairs of tokens whose fit is memoised, at most so many.
 MEMO = 400_000
 
@@ -38,6 +39,22 @@ def decode_ids(bytes_of: dict[int, bytes], ids: bytes | None) -> bytes:
     return b"".join(map(bytes_of.__getitem__, memoryview(ids).cast("I").tolist()))
 
 
+class _Pieces(dict):
+    """Pre-tokens and their packed ids: short ones are kept, up to CACHED of them."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.make(piece)
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHED:
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class BytePairCodec:
     """Encodes and decodes with the ranks of a vocabulary file; no special tokens."""
 
@@ -51,15 +68,16 @@ class BytePairCodec:
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
         self.auto = ahocorasick.Automaton()
         for b, i in ranks.items():
-            self.auto.add_word(b.decode("latin-1"), (len(b), i))
+            self.auto.add_word(b.decode("latin-1"), (len(b) - 1, i))
         self.auto.make_automaton()
+        self.size = {i: len(b) for i, b in self.bytes_of.items()}
         #: The longest other token that starts a token, or None.
         self.shorter: dict[int, int | None] = {}
         #: A token's last merge, (itself, itself) for what no merge makes; and merges by their parts.
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Pieces(self._packed_piece)
         for i in sorted(self.bytes_of):
             self._learn(i)
 
@@ -112,55 +130,45 @@ class BytePairCodec:
         if whole is not None:
             return [whole]
         n = len(piece)
+        # matches come by their ends, so that the last one of a start is its longest
         best = [-1] * n
-        length = [0] * n
-        for end, (size, i) in self.auto.iter(piece.decode("latin-1")):
-            start = end - size + 1
-            if size > length[start]:
-                length[start], best[start] = size, i
+        for end, (back, i) in self.auto.iter(piece.decode("latin-1")):
+            best[end - back] = i
         open_ = bytearray(b"\x01") * (n + 1)
-        sizes, shorter, fit = self.bytes_of, self.shorter, self._fit
+        size, shorter, fits, fit = self.size, self.shorter, self.fits.get, self._fit
         out: list[int] = []
         pos, token = 0, best[0]
         while pos < n:
-            while True:
-                end = pos + len(sizes[token])
-                if open_[end] and (not out or fit(out[-1], token)):
+            end = pos + size[token]
+            if open_[end]:
+                if not out:
+                    stands = True
+                else:
+                    last = out[-1]
+                    stands = fits((last, token))
+                    if stands is None:
+                        stands = fit(last, token)
+                if stands:
                     out.append(token)
                     pos = end
-                    token = best[pos] if pos < n else -1
-                    break
-                nxt = shorter[token]
-                if nxt is not None:
-                    token = nxt
+                    if pos < n:
+                        token = best[pos]
                     continue
+            token = shorter[token]
+            while token is None:
+                # nothing fits here; shorter forms of what stood before come next
                 open_[pos] = 0
-                token = out.pop()
-                pos -= len(sizes[token])
-                # what stood there has failed; its shorter forms come next
-                nxt = shorter[token]
-                while nxt is None:
-                    open_[pos] = 0
-                    token = out.pop()
-                    pos -= len(sizes[token])
-                    nxt = shorter[token]
-                token = nxt
+                last = out.pop()
+                pos -= size[last]
+                token = shorter[last]
         return out
 
     def _packed_piece(self, piece: str) -> bytes:
-        got = b"".join(map(self.packed.__getitem__, self.encode_piece(piece.encode("utf-8"))))
-        if len(piece) <= CACHED_CHARS:
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            self.cache[piece] = got
-        return got
+        return b"".join(map(self.packed.__getitem__, self.encode_piece(piece.encode("utf-8"))))
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; a null text is empty."""
-        if not text:
-            return b""
-        cached, slow = self.cache, self._packed_piece
-        return b"".join([cached[p] if p in cached else slow(p) for p in self.find(text)])
+        return b"".join(map(self.cache.__getitem__, self.find(text))) if text else b""
 
     def decode(self, ids: bytes | None) -> bytes:
         return decode_ids(self.bytes_of, ids)
@@ -180,6 +188,9 @@ def codec(path: str, pattern: str) -> BytePairCodec:
     key = (path, pattern)
     if key not in _codecs:
         _codecs[key] = BytePairCodec(load_ranks(path), pattern)
+        # the tables stay as long as the worker: the collector need not walk them again and again
+        gc.collect()
+        gc.freeze()
     return _codecs[key]
 
 
