@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 #: Pre-tokens up to this many characters are kept in a worker's cache, at most so many.
 CACHED_CHARS, CACHED = 40, 600_000
-#: Pairs of tokens whose fit is memoised, at most so many.
-MEMO = 400_000
+#: Pairs of tokens whose fit is memoised, at most so many; bits of a token's number in a pair.
+MEMO, PAIR = 400_000, 32
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -67,16 +67,21 @@ class BytePairCodec:
         self.bytes_of = decoder(ranks)
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
         self.auto = ahocorasick.Automaton()
+        # single bytes match where they stand; the automaton finds what is longer
+        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
         for b, i in ranks.items():
-            self.auto.add_word(b.decode("latin-1"), (len(b) - 1, i))
-        self.auto.make_automaton()
+            if len(b) > 1:
+                self.auto.add_word(b.decode("latin-1"), (len(b) - 1, i))
+        if len(self.auto):
+            self.auto.make_automaton()
         self.size = {i: len(b) for i, b in self.bytes_of.items()}
         #: The longest other token that starts a token, or None.
         self.shorter: dict[int, int | None] = {}
         #: A token's last merge, (itself, itself) for what no merge makes; and merges by their parts.
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: Whether two tokens, in one number, can stand side by side.
+        self.fits: dict[int, bool] = {}
         self.cache = _Pieces(self._packed_piece)
         for i in sorted(self.bytes_of):
             self._learn(i)
@@ -91,14 +96,14 @@ class BytePairCodec:
             if left is not None and right is not None and left < i and right < i and self._fit(left, right):
                 self.halves[i] = (left, right)
                 self.merged[left, right] = i
-                self.fits.pop((left, right), None)
+                self.fits.pop(left << PAIR | right, None)
                 break
 
     def _fit(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b by rank ends in just these two tokens."""
-        known = self.fits.get((a, b))
+        known = self.fits.get(a << PAIR | b)
         if known is None:
-            known = self.fits[a, b] = self._compatible(a, b)
+            known = self.fits[a << PAIR | b] = self._compatible(a, b)
             if len(self.fits) > MEMO:
                 self.fits.clear()
         return known
@@ -131,9 +136,10 @@ class BytePairCodec:
             return [whole]
         n = len(piece)
         # matches come by their ends, so that the last one of a start is its longest
-        best = [-1] * n
-        for end, (back, i) in self.auto.iter(piece.decode("latin-1")):
-            best[end - back] = i
+        best = list(map(self.single.__getitem__, piece))
+        if len(self.auto):
+            for end, (back, i) in self.auto.iter(piece.decode("latin-1")):
+                best[end - back] = i
         open_ = bytearray(b"\x01") * (n + 1)
         size, shorter, fits, fit = self.size, self.shorter, self.fits.get, self._fit
         out: list[int] = []
@@ -145,7 +151,7 @@ class BytePairCodec:
                     stands = True
                 else:
                     last = out[-1]
-                    stands = fits((last, token))
+                    stands = fits(last << PAIR | token)
                     if stands is None:
                         stands = fit(last, token)
                 if stands:
