@@ -212,9 +212,11 @@ def rare_families(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataF
     many texts share come last. N-grams that occur once signify nothing.
 
     A batch of sets sends its n-grams to the partitions of the order, which count them and send
-    back those that occur elsewhere, with their class, and the number of the others. Sets are
-    named and batches are filled in two passes, whose orders need not agree; a batch that comes
-    back incomplete, as a part of it was made anew otherwise, fails the job.
+    back those that occur elsewhere, with their class, and the number of the others. A batch is
+    named by its sets in their order, so that batches of one name are equal; where copies of
+    texts make several, they are answered as one. Sets are named and batches are filled in two
+    passes, whose orders need not agree; a batch that comes back incomplete, as a part of it was
+    made anew otherwise, fails the job.
     """
     parts = 2 * shuffle_parts(docs.sparkSession)
     schema = "batch bigint, part int, data binary"
@@ -246,8 +248,11 @@ def rare_families(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataF
             yield batch(done)
 
     def answer(t: pa.Table) -> pa.Table:
-        rows, asked = [], []
+        rows, asked, known = [], [], set()
         for name, part, data in zip(*(t.column(c).to_pylist() for c in ("batch", "part", "data")), strict=True):
+            if (name, part) in known:
+                continue
+            known.add((name, part))
             if part < 0:
                 rows.append((name, part, data))
             else:

@@ -115,3 +115,13 @@ def test_stages_on_no_rows(spark, tables):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, tables)
         assert out.count() == 0 and (name == "byte-level BPE" or out.columns == docs.columns)
+
+
+def test_near_copies_where_partitions_hold_equal_texts(spark, tables):
+    """Tables repeated with shifted keys, and partitions of one text each: batches of sets are equal."""
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id < 12").orderBy("doc_id").select("text").collect()]
+    texts.append(texts[0] + " one more")
+    for part, copies in ((texts, 4), (texts[:1], 6)):
+        rows = [(100 * k + i, t, "en", "src0", len(t), "own", "mine") for k in range(copies) for i, t in enumerate(part)]
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, copies), COLUMNS)
+        assert plain(corpus_pipeline.without_near_copies(spark, docs, tables)) == sorted(brute("n-gram Jaccard join", rows), key=repr)
